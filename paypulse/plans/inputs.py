@@ -17,18 +17,22 @@ LOG_PARTITIONS = 3
 SEQ_BASE = 1_000_000
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+def read(spark: SparkSession, sf_dir: str, table: str, streaming: bool = False) -> DataFrame:
+    """A given table, whole; as a stream, its files in turn."""
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    if not streaming:
+        return spark.read.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
 def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def event_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_payments(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """CURATED payments: purchases are paid, errors are failed."""
     return (
-        read(spark, sf_dir, "events")
+        read(spark, sf_dir, "events", streaming)
         .where(F.col("event_type").isin("purchase", "error"))
         .select(
             F.concat(F.lit("P"), _text("event_id")).alias("payment_id"),
@@ -41,9 +45,9 @@ def event_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def star_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def star_orders(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """CURATED orders from ``orders``."""
-    return read(spark, sf_dir, "orders").select(
+    return read(spark, sf_dir, "orders", streaming).select(
         _text("o_orderkey").alias("order_id"),
         F.concat(F.lit("C"), _text("o_custkey")).alias("customer_id"),
         F.col("o_totalprice").alias("amount"),
@@ -53,9 +57,9 @@ def star_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def star_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def star_payments(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """Payments from ``lineitem`` with ``seq``; payment_id repeats."""
-    return read(spark, sf_dir, "lineitem").select(
+    return read(spark, sf_dir, "lineitem", streaming).select(
         F.concat_ws("-", _text("l_orderkey"), _text("l_linenumber")).alias("payment_id"),
         _text("l_orderkey").alias("order_id"),
         F.when(F.col("l_returnflag") == "R", FAILED).otherwise(PAID).alias("status"),
@@ -124,9 +128,9 @@ def faulty_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_records(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """Topic records of ``star_orders``."""
-    orders = star_orders(spark, sf_dir)
+    orders = star_orders(spark, sf_dir, streaming)
     payload = F.to_json(
         F.struct(
             F.lit("order_created").alias("event_type"), iso_utc(F.col("event_ts")).alias("event_ts"),
@@ -140,9 +144,9 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def payment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def payment_records(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """Topic records of ``star_payments``; the sequence number serves as offset."""
-    payments = star_payments(spark, sf_dir)
+    payments = star_payments(spark, sf_dir, streaming)
     payload = F.to_json(
         F.struct(
             F.lit("payment").alias("event_type"), iso_utc(F.col("event_ts")).alias("event_ts"),

@@ -20,16 +20,16 @@ def register_views(
     The views are plans, computed on read. They are unsorted: sort in the query.
     """
     views = {
-        "orders": orders,
-        "payments": payments,
+        "curated_orders": orders,
+        "curated_payments": payments,
         "v_revenue_per_minute": revenue_per_minute(payments),
         "v_payment_failure_rate": payment_failure_rate(payments),
         "v_order_conversion": order_conversion(orders, payments),
     }
     if raw_orders is not None:
-        views |= {"orders_events": raw_orders, "v_orders": unpack_orders(raw_orders)}
+        views |= {"raw_orders_events": raw_orders, "v_orders": unpack_orders(raw_orders)}
     if raw_payments is not None:
-        views |= {"payments_events": raw_payments, "v_payments": unpack_payments(raw_payments)}
+        views |= {"raw_payments_events": raw_payments, "v_payments": unpack_payments(raw_payments)}
     for name, frame in views.items():
         frame.createOrReplaceTempView(name)
     return list(views)
