@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from paypulse.functions.time import as_utc, minutes_before, ntz
-from paypulse.functions.variant import variant_field
+from paypulse.functions.variant import log_position
 from paypulse.session import broadcast_if_small
 
 # Span of the throughput counts, topics and consumer group of the summary.
@@ -19,12 +19,7 @@ SUMMARY_GROUP = "connect-cluster"
 
 def raw_log(raw: DataFrame) -> DataFrame:
     """topic, partition, offset of landed RAW rows, from their metadata."""
-    meta = F.col("record_metadata")
-    return raw.select(
-        variant_field(meta, "topic", "string").alias("topic"),
-        variant_field(meta, "partition", "int").alias("partition"),
-        variant_field(meta, "offset", "bigint").alias("offset"),
-    )
+    return raw.select(*log_position(F.col("record_metadata")))
 
 
 def end_offsets(log: DataFrame, topic: str | None = None) -> DataFrame:

@@ -28,7 +28,8 @@ def split_malformed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split records into landable ones and a quarantine with the reason.
 
     Bad records never stop the pipeline: they are set aside whole, so the two
-    frames together hold every input record.
+    frames together hold every input record. As with most JSON readers, text after a
+    complete value does not make a record bad; it is ignored.
     """
     tagged = records.withColumn("reason", _reject_reason())
     good = tagged.where(F.col("reason").isNull()).drop("reason")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paypulse.functions.ratio import safe_pct
 from paypulse.functions.time import as_utc, bucket_ceil, bucket_start, minutes_before, ntz
@@ -21,23 +21,33 @@ LOOKBACK_MINUTES, BASELINE_MINUTES = 5, 30
 RATE_DIGITS, MEAN_DIGITS, CHANGE_DIGITS = 2, 2, 1
 
 
+def payment_measures() -> list[Column]:
+    """The aggregates behind revenue and failure rate, for any grouping of payments."""
+    paid_amount = F.when(F.col("status") == PAID, F.col("amount")).otherwise(F.lit(0.0))
+    failed = F.col("status") == FAILED
+    return [
+        F.sum(paid_amount).alias("revenue"),
+        F.count("*").alias("total_payments"),
+        F.count_if(failed).alias("failed_payments"),
+        safe_pct(F.count_if(failed), F.count("*"), RATE_DIGITS).alias("failure_rate_pct"),
+    ]
+
+
+def payment_minutes(payments: DataFrame, grain: str = "minute") -> DataFrame:
+    """minute, revenue, total_payments, failed_payments, failure_rate_pct in one aggregate."""
+    minute = bucket_start(F.col("event_ts"), grain).alias("minute")
+    return payments.groupBy(minute).agg(*payment_measures())
+
+
 def revenue_per_minute(payments: DataFrame, grain: str = "minute") -> DataFrame:
     """minute, revenue: sum of paid amounts. A minute with failed payments only has 0."""
-    paid_amount = F.when(F.col("status") == PAID, F.col("amount")).otherwise(F.lit(0.0))
-    return payments.groupBy(bucket_start(F.col("event_ts"), grain).alias("minute")).agg(
-        F.sum(paid_amount).alias("revenue")
-    )
+    return payment_minutes(payments, grain).select("minute", "revenue")
 
 
 def payment_failure_rate(payments: DataFrame, grain: str = "minute") -> DataFrame:
     """minute, total_payments, failed_payments, failure_rate_pct."""
-    counts = payments.groupBy(bucket_start(F.col("event_ts"), grain).alias("minute")).agg(
-        F.count("*").alias("total_payments"),
-        F.count_if(F.col("status") == FAILED).alias("failed_payments"),
-    )
-    return counts.withColumn(
-        "failure_rate_pct",
-        safe_pct(F.col("failed_payments"), F.col("total_payments"), RATE_DIGITS),
+    return payment_minutes(payments, grain).select(
+        "minute", "total_payments", "failed_payments", "failure_rate_pct"
     )
 
 

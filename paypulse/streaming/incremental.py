@@ -11,23 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from paypulse.functions.time import bucket_start
-from paypulse.operators.metrics import order_conversion, payment_failure_rate, revenue_per_minute
+from paypulse.operators.metrics import order_conversion, payment_minutes
 from paypulse.schemas import ORDERS, PAYMENTS, EventTable
 from paypulse.session import broadcast_if_small
 from paypulse.sources.layers import layer_path, read_changes, read_curated
 
 _N, _L, _D = T.TimestampNTZType(), T.LongType(), T.DoubleType()
+# The stored tables: what one recomputation of a minute yields.
+STORED = {
+    "payment_minutes": {
+        "revenue": _D, "total_payments": _L, "failed_payments": _L, "failure_rate_pct": _D,
+    },
+    "order_minutes": {"total_orders": _L, "paid_orders": _L, "conversion_rate_pct": _D},
+}
+# The metrics read from them.
 METRICS = {
-    "revenue_per_minute": {"revenue": _D},
-    "payment_failure_rate": {"total_payments": _L, "failed_payments": _L, "failure_rate_pct": _D},
-    "order_conversion": {"total_orders": _L, "paid_orders": _L, "conversion_rate_pct": _D},
+    "revenue_per_minute": ("payment_minutes", ("revenue",)),
+    "payment_failure_rate": (
+        "payment_minutes", ("total_payments", "failed_payments", "failure_rate_pct"),
+    ),
+    "order_conversion": ("order_minutes", ("total_orders", "paid_orders", "conversion_rate_pct")),
 }
 
 
-def _metric_path(root: str, metric: str) -> str:
-    return layer_path(root, "analytics", metric)
-
-
 def _touched_minutes(changes: DataFrame) -> DataFrame:
     """Minutes of the new and the replaced rows; a NULL time is a minute of its own."""
     times = changes.select("event_ts").unionByName(
@@ -37,10 +43,12 @@ def _touched_minutes(changes: DataFrame) -> DataFrame:
 
 
 def _in_minutes(rows: DataFrame, minutes: DataFrame) -> DataFrame:
-    """The rows whose minute is among ``minutes`` (which is cached).
+    """The rows whose minute is among ``minutes``, a cached frame.
 
     The span of the minutes, one row, goes into a filter on the time column, so the
-    scan skips files outside it; the join then picks the minutes themselves.
+    scan skips files outside it; the join then picks the minutes themselves. Taking
+    the span fills the cache, so Catalyst knows the true size of the join's small
+    side when it decides whether to broadcast it.
     """
     span = minutes.agg(
         F.min("minute").alias("first"),
@@ -52,7 +60,7 @@ def _in_minutes(rows: DataFrame, minutes: DataFrame) -> DataFrame:
     if span.first is not None:
         after = F.timestamp_add("MINUTE", F.lit(1), F.lit(span.last).cast("timestamp_ntz"))
         keep = keep | ((ts >= F.lit(span.first).cast("timestamp_ntz")) & (ts < after))
-    wanted = broadcast_if_small(minutes.select(F.col("minute").alias("_wanted")))
+    wanted = minutes.select(F.col("minute").alias("_wanted"))
     return (
         rows.where(keep)
         .withColumn("_minute", bucket_start(ts))
@@ -61,14 +69,14 @@ def _in_minutes(rows: DataFrame, minutes: DataFrame) -> DataFrame:
     )
 
 
-def _write_metric(values: DataFrame, minutes: DataFrame, root: str, metric: str, batch_id: int) -> None:
+def _store(values: DataFrame, minutes: DataFrame, root: str, stored: str, batch_id: int) -> None:
     """Store the new values of ``minutes``; a minute without rows is stored as gone."""
-    names = list(METRICS[metric])
+    names = list(STORED[stored])
     values = values.select(F.col("minute").alias("_minute"), *names, F.lit(True).alias("_found"))
     rows = minutes.join(values, F.col("minute").eqNullSafe(F.col("_minute")), "left").select(
         "minute", *names, F.coalesce("_found", F.lit(False)).alias("present")
     )
-    rows.write.mode("overwrite").parquet(f"{_metric_path(root, metric)}/batch_id={batch_id}")
+    rows.write.mode("overwrite").parquet(f"{layer_path(root, 'analytics', stored)}/batch_id={batch_id}")
 
 
 def _changes_of(spark: SparkSession, root: str, table: EventTable, batch_id: int) -> DataFrame:
@@ -89,7 +97,7 @@ def update_metrics(spark: SparkSession, root: str, batch_id: int) -> None:
         .where(F.col("order_id").isNotNull())
         .distinct()
     )
-    paid_for = orders.join(broadcast_if_small(order_ids), "order_id", "left_semi")
+    paid_for = orders.join(order_ids, "order_id", "left_semi")
     order_minutes = (
         _touched_minutes(order_changes)
         .unionByName(paid_for.select(bucket_start(F.col("event_ts")).alias("minute")))
@@ -98,14 +106,13 @@ def update_metrics(spark: SparkSession, root: str, batch_id: int) -> None:
     )
     try:
         touched = _in_minutes(payments, paid_minutes)
-        _write_metric(revenue_per_minute(touched), paid_minutes, root, "revenue_per_minute", batch_id)
-        _write_metric(payment_failure_rate(touched), paid_minutes, root, "payment_failure_rate", batch_id)
+        _store(payment_minutes(touched), paid_minutes, root, "payment_minutes", batch_id)
 
-        their_orders = _in_minutes(orders, order_minutes).persist()
-        ids = their_orders.select("order_id").distinct()
-        their_payments = payments.join(broadcast_if_small(ids), "order_id", "left_semi")
+        their_orders = _in_minutes(orders, order_minutes).select("event_ts", "order_id").persist()
+        ids = broadcast_if_small(their_orders.select("order_id").distinct())
+        their_payments = payments.join(ids, "order_id", "left_semi")
         conversion = order_conversion(their_orders, their_payments)
-        _write_metric(conversion, order_minutes, root, "order_conversion", batch_id)
+        _store(conversion, order_minutes, root, "order_minutes", batch_id)
         their_orders.unpersist()
     finally:
         paid_minutes.unpersist()
@@ -114,12 +121,12 @@ def update_metrics(spark: SparkSession, root: str, batch_id: int) -> None:
 
 def read_metric(spark: SparkSession, root: str, metric: str) -> DataFrame:
     """The stored metric: per minute the value of the last batch that touched it."""
-    names = list(METRICS[metric])
+    stored, names = METRICS[metric]
     schema = T.StructType([T.StructField("minute", _N)])
-    for name, data_type in METRICS[metric].items():
+    for name, data_type in STORED[stored].items():
         schema = schema.add(name, data_type)
     schema = schema.add("present", T.BooleanType()).add("batch_id", _L)
-    log = spark.read.schema(schema).parquet(_metric_path(root, metric))
+    log = spark.read.schema(schema).parquet(layer_path(root, "analytics", stored))
     latest = log.groupBy("minute").agg(
         F.max_by(F.struct("present", *names), "batch_id").alias("value")
     )

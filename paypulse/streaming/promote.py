@@ -7,11 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paypulse.operators.health import group_commits, raw_log
+from paypulse.operators.health import group_commits
 from paypulse.operators.unpack import unpack
 from paypulse.operators.upsert import latest_by_key
 from paypulse.schemas import ORDERS, PAYMENTS, EventTable
-from paypulse.session import broadcast_if_small
 from paypulse.sources.layers import (
     layer_path, new_rows, read_curated, snapshot_upto, write_changes,
 )
@@ -22,23 +21,24 @@ PROMOTE_TRIGGER = {"processingTime": "1 minute"}
 PROMOTE_GROUP = "promote"
 
 
-def promote_batch(spark: SparkSession, raw: DataFrame, root: str, table: EventTable, batch_id: int) -> None:
-    """Merge new RAW rows into the CURATED table: latest load time wins, ties keep the old row.
+def promote_batch(spark: SparkSession, new: DataFrame, root: str, table: EventTable, batch_id: int) -> None:
+    """Merge new typed rows into the CURATED table: latest load time wins, ties keep the old row.
 
     Only the current rows of the batch's keys take part in the comparison; they are
-    found by a semi join whose small side is the batch.
+    found by a semi join whose small side is the batch. The batch is counted first:
+    that fills its cache, so Catalyst decides on its true size whether to broadcast it.
     """
     if batch_id <= snapshot_upto(spark, root, table):
         return
     columns = table.schema.names
     rows = latest_by_key(
-        unpack(raw, table, with_payload=False, with_seq=True), table.key, "load_time", "seq"
-    ).select(*columns, "seq").persist()
+        new.select(*columns, F.col("offset").alias("seq")), table.key, "load_time", "seq"
+    ).persist()
     try:
+        if rows.count() == 0:
+            return
         keys = rows.where(F.col(table.key).isNotNull()).select(table.key)
-        current = read_curated(spark, root, table, batch_id - 1).join(
-            broadcast_if_small(keys), table.key, "left_semi"
-        )
+        current = read_curated(spark, root, table, batch_id - 1).join(keys, table.key, "left_semi")
         before = current.select(
             F.col(table.key).alias("_key"), F.struct(*columns).alias("before")
         )
@@ -51,9 +51,9 @@ def promote_batch(spark: SparkSession, raw: DataFrame, root: str, table: EventTa
         rows.unpersist()
 
 
-def _write_commits(raw: DataFrame, root: str, batch_id: int) -> None:
+def _write_commits(batch: DataFrame, root: str, batch_id: int) -> None:
     path = layer_path(root, "curated", f"committed_offsets/batch_id={batch_id}")
-    group_commits(raw_log(raw), PROMOTE_GROUP).write.mode("overwrite").parquet(path)
+    group_commits(batch, PROMOTE_GROUP).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def start_promote(
@@ -71,7 +71,10 @@ def start_promote(
     the same result. Keep the checkpoint with the tables: batch numbers come from it.
     """
     feeds = [
-        new_rows(spark, root, table, **source_options).withColumn("_table", F.lit(table.name))
+        unpack(
+            new_rows(spark, root, table, **source_options), table,
+            with_payload=False, with_position=True,
+        ).withColumn("_table", F.lit(table.name))
         for table in (ORDERS, PAYMENTS)
     ]
 
@@ -88,7 +91,7 @@ def start_promote(
             batch.unpersist()
 
     return (
-        feeds[0].unionByName(feeds[1])
+        feeds[0].unionByName(feeds[1], allowMissingColumns=True)
         .writeStream.queryName("promote")
         .option("checkpointLocation", layer_path(root, "checkpoints", "promote"))
         .trigger(**trigger)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from paypulse.functions.ratio import safe_pct
-from paypulse.operators.metrics import RATE_DIGITS
-from paypulse.schemas import FAILED, PAID
+from paypulse.operators.metrics import payment_measures
 
 
 def tumbling_metrics(payments: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -17,21 +15,11 @@ def tumbling_metrics(payments: DataFrame, delay: str = "10 minutes") -> DataFram
     without a time, and in append mode emits a minute only once the watermark has
     passed its end. State is one small row per open minute.
     """
-    paid_amount = F.when(F.col("status") == PAID, F.col("amount")).otherwise(F.lit(0.0))
     counts = (
         payments.withColumn("_at", F.col("event_ts").cast("timestamp"))
         .withWatermark("_at", delay)
         .groupBy(F.window("_at", "1 minute"))
-        .agg(
-            F.sum(paid_amount).alias("revenue"),
-            F.count("*").alias("total_payments"),
-            F.count_if(F.col("status") == FAILED).alias("failed_payments"),
-        )
-    )
-    return counts.select(
-        F.col("window.start").cast("timestamp_ntz").alias("minute"),
-        "revenue",
-        "total_payments",
-        "failed_payments",
-        safe_pct(F.col("failed_payments"), F.col("total_payments"), RATE_DIGITS).alias("failure_rate_pct"),
+        .agg(*payment_measures())
     )
+    minute = F.col("window.start").cast("timestamp_ntz").alias("minute")
+    return counts.select(minute, *[c for c in counts.columns if c != "window"])

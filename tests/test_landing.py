@@ -1,0 +1,87 @@
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from paypulse.operators.landing import ingest_options, land_raw, route, split_malformed
+from paypulse.operators.unpack import unpack_orders, unpack_payments
+from paypulse.schemas import ENVELOPE
+
+from tests.conftest import rows_of
+
+
+def envelope(spark, values, topic="payments"):
+    rows = [("k", v, topic, 0, i, datetime(2024, 1, 1)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, ENVELOPE)
+
+
+def test_split_malformed_keeps_every_record(spark):
+    values = ['{"a": 1}', ' \n{"a": 1}', "{x", "", "12", "null", '"text"', "[1]", "{}", None, '{"a": 1 z}', '{"a": 1} z']
+    good, bad = split_malformed(envelope(spark, values))
+    assert {r.offset for r in good.collect()} == {0, 1, 8, 11}
+    assert {r.offset: r.reason for r in bad.collect()} == {
+        2: "malformed", 3: "malformed", 4: "not_object", 5: "not_object", 6: "not_object",
+        7: "not_object", 9: "empty", 10: "malformed",
+    }
+    assert {r.value for r in bad.collect()} == {values[i] for i in (2, 3, 4, 5, 6, 7, 9, 10)}
+
+
+def test_unpack_payments_of_good_and_bad_fields(spark):
+    values = [
+        '{"payment_id": "p1", "order_id": "o1", "status": "PAID", "amount": 12.34,'
+        ' "event_ts": "2024-01-01T10:11:12.345678+00:00", "event_type": "payment"}',
+        '{"payment_id": 7, "status": null, "amount": "x", "event_ts": "2024-01-01T03:04:05+02:00"}',
+        '{"payment_id": "p3", "amount": "5.5", "event_ts": "no time"}',
+    ]
+    load = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    typed = unpack_payments(land_raw(envelope(spark, values), load), with_position=True)
+    assert typed.columns == [
+        "load_time", "payment_id", "order_id", "status", "amount", "event_ts", "payload",
+        "topic", "partition", "offset",
+    ]
+    loaded = datetime(2024, 1, 2)
+    assert rows_of(typed.drop("payload")) == sorted([
+        (loaded, "p1", "o1", "PAID", 12.34, datetime(2024, 1, 1, 10, 11, 12, 345678), "payments", 0, 0),
+        (loaded, "7", None, None, None, datetime(2024, 1, 1, 3, 4, 5), "payments", 0, 1),
+        (loaded, "p3", None, None, 5.5, None, "payments", 0, 2),
+    ], key=repr)
+
+
+def test_unpack_orders_columns(spark):
+    value = '{"order_id": "o", "customer_id": "C1", "amount": 1, "currency": "USD", "event_ts": "2024-01-01"}'
+    frame = unpack_orders(land_raw(envelope(spark, [value], "orders")), with_payload=False)
+    row = frame.first()
+    assert frame.columns == ["load_time", "order_id", "customer_id", "amount", "currency", "event_ts"]
+    assert (row.order_id, row.amount, row.event_ts) == ("o", 1.0, datetime(2024, 1, 1))
+
+
+def test_load_time_defaults_to_now_in_utc(spark):
+    frame = land_raw(envelope(spark, ["{}"]), F.lit(None).cast("timestamp_ntz"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        loaded = land_raw(envelope(spark, ["{}"])).first().load_time
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert abs((loaded - frame.first().load_time).total_seconds()) < 60
+
+
+def test_raw_survives_parquet(spark, tmp_path):
+    raw = land_raw(envelope(spark, ['{"payment_id": "p", "deep": {"a": [1, 2]}}']))
+    raw.write.parquet(str(tmp_path / "raw"))
+    back = spark.read.parquet(str(tmp_path / "raw"))
+    assert back.select(F.try_variant_get("record_content", "$.deep.a[1]", "int")).first()[0] == 2
+
+
+def test_route(spark):
+    log = envelope(spark, ["{}", "{}"], "a").union(envelope(spark, ["{}"], "b")).union(
+        envelope(spark, ["{}"], "c")
+    )
+    tables = route(log, {"a": "first", "b": "second", "c": "first"})
+    assert {name: frame.count() for name, frame in tables.items()} == {"first": 3, "second": 1}
+
+
+def test_ingest_options():
+    assert ingest_options("kafka") == ({"maxOffsetsPerTrigger": "5000"}, {"processingTime": "30 seconds"})
+    assert ingest_options("parquet", size=7, seconds=2) == (
+        {"maxBytesPerTrigger": "7"}, {"processingTime": "2 seconds"},
+    )
