@@ -15,42 +15,46 @@ BUFFER_BYTES = 5_000_000
 
 
 def _reject_reason() -> Column:
-    """Why ``value`` cannot be landed; NULL for a JSON object."""
+    """Why a record cannot be landed; NULL for a JSON object."""
     value = F.col("value")
     return (
         F.when(value.isNull(), F.lit("empty"))
-        .when(F.try_parse_json(value).isNull(), F.lit("malformed"))
+        .when(F.col("content").isNull(), F.lit("malformed"))
         .when(~value.rlike(_OBJECT_START), F.lit("not_object"))
     )
 
 
 def split_malformed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split records into landable ones and a quarantine with the reason.
+    """Split records into landable ones, with their parsed ``content``, and a quarantine.
 
     Bad records never stop the pipeline: they are set aside whole, so the two
     frames together hold every input record. As with most JSON readers, text after a
     complete value does not make a record bad; it is ignored.
+
+    The parsed value passes through an ``explode`` of one element. Catalyst does not
+    move filters and projections across that, so each value is parsed once and not
+    once for the check and again for the landing.
     """
-    tagged = records.withColumn("reason", _reject_reason())
-    good = tagged.where(F.col("reason").isNull()).drop("reason")
-    bad = tagged.where(F.col("reason").isNotNull()).select(
-        "topic", "partition", "offset", "value", "reason"
-    )
-    return good, bad
+    parsed = records.withColumn("content", F.explode(F.array(F.try_parse_json("value"))))
+    good = parsed.where(_reject_reason().isNull())
+    bad = parsed.withColumn("reason", _reject_reason()).where(F.col("reason").isNotNull())
+    return good, bad.select("topic", "partition", "offset", "value", "reason")
 
 
 def land_raw(records: DataFrame, load_time: Column | None = None) -> DataFrame:
     """Records as RAW rows: metadata and content as VARIANT, plus the load time.
 
+    Uses the ``content`` that ``split_malformed`` has parsed, or parses the value.
     Without ``load_time`` (or where it is NULL) rows get the current time. In a
     stream that is the time of the micro-batch, which a replayed batch keeps.
     """
+    content = F.col("content") if "content" in records.columns else F.try_parse_json("value")
     now = F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
     return records.select(
         F.to_variant_object(
             F.struct("topic", "partition", "offset", "key", F.col("timestamp").alias("create_time"))
         ).alias("record_metadata"),
-        F.try_parse_json("value").alias("record_content"),
+        content.alias("record_content"),
         (now if load_time is None else F.coalesce(load_time, now)).alias("load_time"),
     )
 

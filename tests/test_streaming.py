@@ -1,0 +1,225 @@
+"""Streaming jobs over files: no broker, every batch compared with the batch operators."""
+
+import json
+import random
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from paypulse.operators import metrics
+from paypulse.operators.landing import land_raw
+from paypulse.operators.unpack import unpack
+from paypulse.operators.upsert import latest_by_key
+from paypulse.plans.monitor import PaymentMonitor
+from paypulse.schemas import ENVELOPE, ORDERS, PAYMENTS, RAW
+from paypulse.sources.layers import (
+    compact, layer_path, new_rows, read_changes, read_curated, register_layers, scan,
+)
+from paypulse.sources.topics import read_topics
+from paypulse.streaming.incremental import read_metric, update_metrics
+from paypulse.streaming.ingest import start_ingest
+from paypulse.streaming.promote import promote_batch, start_promote
+from paypulse.streaming.tumbling import tumbling_metrics
+
+from tests.conftest import at, rows_of
+
+ONCE = {"availableNow": True}
+
+
+def minute(n):
+    return None if n is None else f"2024-01-01T10:{n:02d}:15+00:00"
+
+
+def history(seed, size):
+    """Records of orders and payments with moves, status flips, late and repeated versions."""
+    rng = random.Random(seed)
+    records = []
+    for offset in range(size):
+        load = at(f"12:{rng.randrange(3) + offset * 50 // size:02d}")
+        order_id = rng.choice(["o1", "o2", "o3", "o4", None])
+        if rng.random() < 0.4:
+            body = {"order_id": order_id, "customer_id": "C1", "amount": rng.randrange(9) + 0.5,
+                    "currency": "USD", "event_ts": minute(rng.choice([0, 1, 2, None]))}
+            records.append((order_id, json.dumps(body), "orders", 0, offset, load))
+        else:
+            payment_id = rng.choice(["p1", "p2", "p3", "p4", "p5", None])
+            body = {"payment_id": payment_id, "order_id": order_id,
+                    "status": rng.choice(["PAID", "PAID", "FAILED"]), "amount": rng.randrange(9) + 0.25,
+                    "event_ts": minute(rng.choice([0, 1, 2, 3, None]))}
+            records.append((payment_id, json.dumps(body), "payments", 0, offset, load))
+    return records
+
+
+def land(spark, root, records):
+    """Append records to the RAW tables, as the ingest does."""
+    frame = spark.createDataFrame(records, ENVELOPE)
+    for table in (ORDERS, PAYMENTS):
+        raw = land_raw(frame.where(F.col("topic") == table.topic), F.col("timestamp"))
+        raw.coalesce(1).write.mode("append").parquet(layer_path(root, "raw", table.raw_table))
+
+
+def expected_table(spark, records, table):
+    frame = spark.createDataFrame(records, ENVELOPE).where(F.col("topic") == table.topic)
+    typed = unpack(land_raw(frame, F.col("timestamp")), table, with_position=True)
+    return latest_by_key(typed, table.key, "load_time", "offset").select(*table.schema.names)
+
+
+def assert_consistent(spark, root, records):
+    """Tables and stored metrics equal what a batch run over all records gives."""
+    orders, payments = (read_curated(spark, root, t) for t in (ORDERS, PAYMENTS))
+    assert rows_of(orders) == rows_of(expected_table(spark, records, ORDERS))
+    assert rows_of(payments) == rows_of(expected_table(spark, records, PAYMENTS))
+    assert rows_of(read_metric(spark, root, "revenue_per_minute")) == rows_of(
+        metrics.revenue_per_minute(payments))
+    assert rows_of(read_metric(spark, root, "payment_failure_rate")) == rows_of(
+        metrics.payment_failure_rate(payments))
+    assert rows_of(read_metric(spark, root, "order_conversion")) == rows_of(
+        metrics.order_conversion(orders, payments))
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_promotion_in_batches_with_compaction_and_replay(spark, tmp_path, seed):
+    root = str(tmp_path)
+    register_layers(spark, root)
+    records = history(seed, 60)
+    for i, (start, end) in enumerate([(0, 20), (20, 35), (35, 60)]):
+        land(spark, root, records[start:end])
+        start_promote(spark, root, ONCE).awaitTermination()
+        assert_consistent(spark, root, records[:end])
+        if i == 0:
+            assert compact(spark, root, PAYMENTS) == 0
+            assert compact(spark, root, PAYMENTS) is None
+            assert_consistent(spark, root, records[:end])
+
+    # The last batch again, as after a failure before its commit.
+    frame = spark.createDataFrame(records[35:], ENVELOPE)
+    last = read_changes(spark, root, PAYMENTS).agg(F.max("batch_id")).first()[0]
+    for table in (ORDERS, PAYMENTS):
+        raw = land_raw(frame.where(F.col("topic") == table.topic), F.col("timestamp"))
+        promote_batch(spark, unpack(raw, table, with_position=True), root, table, last)
+    update_metrics(spark, root, last)
+    assert_consistent(spark, root, records)
+
+    # A batch the snapshot already holds is left alone.
+    assert compact(spark, root, PAYMENTS) == last
+    promote_batch(spark, unpack(raw, PAYMENTS, with_position=True), root, PAYMENTS, 0)
+    assert_consistent(spark, root, records)
+
+    # The monitor reads the same tables.
+    monitor = PaymentMonitor(spark, root, at("10:03"))
+    payments = read_curated(spark, root, PAYMENTS)
+    assert rows_of(monitor.revenue_last_minutes(1)) == rows_of(
+        metrics.revenue_last_minutes(payments, at("10:03"), 1))
+    assert monitor.run_sql("select count(*) as n from raw_payments_events").first().n == sum(
+        r[2] == "payments" for r in records)
+    assert [r.lag for r in monitor.consumer_lag("payments").collect()] == [0]
+    assert monitor.pipeline_summary("nobody").first().payments_lag == max(
+        r[4] for r in records if r[2] == "payments") + 1
+    assert rows_of(monitor.end_offsets("unknown")) == []
+    assert monitor.revenue_anomaly().count() == 1
+    assert rows_of(monitor.order_conversion_rate()) == rows_of(
+        metrics.order_conversion_last(monitor.orders, payments, at("10:03")))
+    assert monitor.payment_failure_rate(2).columns[0] == "minute"
+
+
+def test_ingest_lands_each_record_once(spark, tmp_path):
+    root, source = str(tmp_path / "layers"), str(tmp_path / "topics")
+    register_layers(spark, root)
+
+    def records_of(topics):
+        return read_topics(spark, topics, "json", path=source, maxFilesPerTrigger="1")
+
+    def write(values, topic, first):
+        rows = [("k", v, topic, 0, first + i, at("10:00")) for i, v in enumerate(values)]
+        spark.createDataFrame(rows, ENVELOPE).coalesce(1).write.mode("append").json(source)
+
+    def ingest():
+        for query in start_ingest(records_of, root, ONCE):
+            query.awaitTermination()
+
+    write(['{"order_id": "a"}', "{broken"], "orders", 0)
+    write(['{"payment_id": "p"}', None, "[]"], "payments", 0)
+    ingest()
+    write(['{"payment_id": "q"}'], "payments", 3)
+    write(['{"other": 1}'], "unrelated", 0)
+    ingest()
+
+    assert scan(spark, root, "raw", "orders_events").count() == 1
+    typed = unpack(scan(spark, root, "raw", "payments_events"), PAYMENTS, with_payload=False)
+    assert {r.payment_id for r in typed.collect()} == {"p", "q"}
+    assert all(r.load_time is not None for r in typed.collect())
+    quarantine = scan(spark, root, "raw", "quarantine")
+    assert rows_of(quarantine.select("topic", "offset", "reason")) == sorted([
+        ("orders", 1, "malformed"), ("payments", 1, "empty"), ("payments", 2, "not_object"),
+    ], key=repr)
+    # The promotion reads what the ingest committed.
+    start_promote(spark, root, ONCE).awaitTermination()
+    assert {r.payment_id for r in read_curated(spark, root, PAYMENTS).collect()} == {"p", "q"}
+
+
+def test_change_feed_gives_each_row_once(spark, tmp_path):
+    root = str(tmp_path)
+    register_layers(spark, root)
+    seen = []
+
+    def run():
+        query = (
+            new_rows(spark, root, PAYMENTS).writeStream.trigger(**ONCE)
+            .option("checkpointLocation", f"{root}/feed")
+            .foreachBatch(lambda batch, _: seen.append(batch.count())).start()
+        )
+        query.awaitTermination()
+
+    records = [r for r in history(3, 30) if r[2] == "payments"]
+    land(spark, root, records[:5])
+    run()
+    land(spark, root, records[5:])
+    run()
+    run()
+    assert sum(seen) == len(records)
+
+
+def test_tumbling_metrics_emits_closed_minutes_and_drops_late_ones(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def payments(rows):
+        full = [(uuid.uuid4().hex, "o", s, a, at(t), at(t)) for s, a, t in rows]
+        spark.createDataFrame(full, PAYMENTS.schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(PAYMENTS.schema).parquet(source)
+        (
+            tumbling_metrics(stream, "2 minutes").writeStream.outputMode("append").format("parquet")
+            .option("path", out).option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(**ONCE).start().awaitTermination()
+        )
+
+    payments([("PAID", 5.0, "10:00:10"), ("FAILED", 3.0, "10:00:50"), ("PAID", 2.0, "10:01"),
+              ("PAID", 1.0, None), ("PAID", 1.0, "10:04")])
+    run()
+    payments([("PAID", 100.0, "10:00:30"), ("PAID", 1.0, "10:10")])
+    run()
+    assert rows_of(spark.read.parquet(out)) == sorted([
+        (at("10:00"), 5.0, 2, 1, 50.0), (at("10:01"), 2.0, 1, 0, 0.0), (at("10:04"), 1.0, 1, 0, 0.0),
+    ], key=repr)
+
+
+def test_register_layers_declares_and_keeps_tables(spark, tmp_path):
+    root = str(tmp_path)
+    register_layers(spark, root, catalog=True)
+    land(spark, root, history(4, 12))
+    before = scan(spark, root, "raw", "orders_events").count()
+    register_layers(spark, root, catalog=True)
+    assert before > 0 and scan(spark, root, "raw", "orders_events").count() == before
+    spark.catalog.refreshTable("raw.orders_events")
+    assert spark.table("raw.orders_events").schema == RAW
+    assert spark.table("raw.orders_events").count() == before
+    assert scan(spark, root, "curated", "payments").count() == 0
+
+
+def test_kafka_needs_its_package(spark):
+    with pytest.raises(Exception, match="(?i)kafka"):
+        read_topics(spark, ["orders"], "kafka", **{"kafka.bootstrap.servers": "nowhere:9092"})
+    with pytest.raises(ValueError):
+        read_topics(spark, ["orders"], "json")
