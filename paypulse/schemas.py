@@ -93,3 +93,20 @@ TABLES = {t.name: t for t in (ORDERS, PAYMENTS)}
 # Payment states.
 PAID = "PAID"
 FAILED = "FAILED"
+
+# What one recomputation of a minute stores: by payment time, and by order time.
+MINUTES = {
+    "payment_minutes": T.StructType([
+        T.StructField("minute", _N),
+        T.StructField("revenue", _D),
+        T.StructField("total_payments", _L),
+        T.StructField("failed_payments", _L),
+        T.StructField("failure_rate_pct", _D),
+    ]),
+    "order_minutes": T.StructType([
+        T.StructField("minute", _N),
+        T.StructField("total_orders", _L),
+        T.StructField("paid_orders", _L),
+        T.StructField("conversion_rate_pct", _D),
+    ]),
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Everything a cluster operator may want to override stays overridable through
 # ``extra`` or spark-submit --conf; these are the settings the operators expect.
@@ -41,14 +41,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcasting only after counting that it has at most ``max_rows`` rows.
+def is_small(df: DataFrame, max_rows: int = 200_000) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; counting stops one row later.
 
-    The count stops at ``max_rows + 1`` rows. A larger frame is returned unmarked,
-    so the join falls back to the shuffle join Catalyst picks. Meant for narrow
-    frames (keys, minutes, offsets) whose planner estimate is far too high because
-    they are aggregates over large inputs.
+    A size check before broadcasting narrow frames (keys, minutes, offsets) whose
+    planner estimate is far too high because they are aggregates over large inputs.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return df.limit(max_rows + 1).count() <= max_rows

@@ -1,10 +1,8 @@
-"""The RAW, CURATED and ANALYTICS layers as Parquet folders below one root.
+"""The RAW, CURATED and ANALYTICS layers below one root.
 
-RAW tables are append-only. A CURATED table is a change log plus an optional
-snapshot: every promoted batch adds one folder ``changes/batch_id=N`` holding the
-rows that won their key, so the latest change of a key always replaces its snapshot
-row. Reading is an anti join of the snapshot with the changed keys. Writing a batch
-again overwrites its own folder only, which makes a replay harmless.
+RAW tables are append-only Parquet folders. A CURATED table is a log of batches that
+hold the rows which won their key, so the latest change of a key always replaces its
+snapshot row: reading is an anti join of the snapshot with the changed keys.
 """
 
 from __future__ import annotations
@@ -12,66 +10,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from paypulse.operators.upsert import latest_by_key
-from paypulse.schemas import COMMITTED, QUARANTINE, RAW, TABLES, EventTable
-
-SNAPSHOTS = T.StructType([T.StructField("upto", T.LongType()), T.StructField("path", T.StringType())])
+from paypulse.schemas import COMMITTED, MINUTES, QUARANTINE, RAW, TABLES, EventTable
+from paypulse.sources import batchlog
 
 
 def layer_path(root: str, layer: str, table: str) -> str:
     return f"{root.rstrip('/')}/{layer}/{table}"
 
 
+def curated_path(root: str, table: EventTable) -> str:
+    return layer_path(root, "curated", table.name)
+
+
+def offsets_path(root: str) -> str:
+    return layer_path(root, "curated", "committed_offsets")
+
+
 def change_schema(table: EventTable) -> T.StructType:
-    """A change: the new row, its sequence number, the row it replaced, its batch."""
+    """A change: the new row, its sequence number, and the row it replaced if any."""
     out = T.StructType(list(table.schema.fields))
-    out = out.add("seq", T.LongType()).add("before", table.schema)
-    return out.add("batch_id", T.LongType())
+    return out.add("seq", T.LongType()).add("before", table.schema)
 
 
-def _layout(root: str) -> dict[str, tuple[str, T.StructType]]:
-    """Path and schema of every stored table that is a plain Parquet folder."""
-    tables = {
-        "raw.quarantine": (layer_path(root, "raw", "quarantine"), QUARANTINE),
-        "curated.committed_offsets": (layer_path(root, "curated", "committed_offsets"), COMMITTED),
-    }
-    for table in TABLES.values():
-        tables[f"raw.{table.raw_table}"] = (layer_path(root, "raw", table.raw_table), RAW)
-        tables[f"curated.{table.name}_snapshots"] = (
-            layer_path(root, "curated", f"{table.name}/snapshots"), SNAPSHOTS,
-        )
-        tables[f"curated.{table.name}_changes"] = (
-            layer_path(root, "curated", f"{table.name}/changes"), change_schema(table),
-        )
-    return tables
+def minutes_schema(stored: str) -> T.StructType:
+    """The values of a minute; ``present`` is false for a minute that has lost all its rows."""
+    return T.StructType([*MINUTES[stored].fields, T.StructField("present", T.BooleanType())])
+
+
+def _raw_schemas() -> dict[str, T.StructType]:
+    return {**{t.raw_table: RAW for t in TABLES.values()}, "quarantine": QUARANTINE}
 
 
-def register_layers(spark: SparkSession, root: str, *, catalog: bool = False) -> list[str]:
+def register_layers(spark: SparkSession, root: str, *, catalog: bool = False) -> None:
     """Create the layers' tables where they are missing; existing data stays as it is.
 
-    With ``catalog`` the databases and external tables are declared as well, so the
-    RAW tables can be named in SQL.
+    With ``catalog`` the databases and the RAW tables are declared in the session
+    catalog as well, so SQL can name them.
     """
-    layout = _layout(root)
-    for path, schema in layout.values():
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    for name, schema in _raw_schemas().items():
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(layer_path(root, "raw", name))
+    for table in TABLES.values():
+        batchlog.create(spark, curated_path(root, table), change_schema(table))
+    batchlog.create(spark, offsets_path(root), COMMITTED)
+    for stored in MINUTES:
+        batchlog.create(spark, layer_path(root, "analytics", stored), minutes_schema(stored))
     if catalog:
         for layer in ("raw", "curated", "analytics"):
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer} LOCATION '{layer_path(root, layer, '_db')}'")
-        for table in TABLES.values():
-            path, schema = layout[f"raw.{table.raw_table}"]
-            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+        for name, schema in _raw_schemas().items():
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
             spark.sql(
-                f"CREATE TABLE IF NOT EXISTS raw.{table.raw_table} ({columns}) USING parquet LOCATION '{path}'"
+                f"CREATE TABLE IF NOT EXISTS raw.{name} ({columns}) USING parquet "
+                f"LOCATION '{layer_path(root, 'raw', name)}'"
             )
-    return list(layout)
 
 
 def scan(spark: SparkSession, root: str, layer: str, table: str) -> DataFrame:
     """Full scan of a stored table with its declared schema; nothing is inferred."""
-    if layer == "curated" and table in TABLES:
+    if layer == "raw":
+        schema = _raw_schemas()[table]
+        return spark.read.schema(schema).parquet(layer_path(root, layer, table)).select(*schema.names)
+    if (layer, table) == ("curated", "committed_offsets"):
+        return read_offsets(spark, root)
+    if layer == "curated":
         return read_curated(spark, root, TABLES[table])
-    path, schema = _layout(root)[f"{layer}.{table}"]
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+    raise ValueError(f"unknown layer {layer!r}")
 
 
 def new_rows(spark: SparkSession, root: str, table: EventTable, **options: str) -> DataFrame:
@@ -80,25 +83,6 @@ def new_rows(spark: SparkSession, root: str, table: EventTable, **options: str)
     return spark.readStream.schema(RAW).options(**options).parquet(path).select(*RAW.names)
 
 
-def _snapshot(spark: SparkSession, root: str, table: EventTable) -> tuple[int, str | None]:
-    """Last batch in the newest complete snapshot and its folder; (-1, None) without one."""
-    path = layer_path(root, "curated", f"{table.name}/snapshots")
-    newest = spark.read.schema(SNAPSHOTS).parquet(path).agg(
-        F.max("upto").alias("upto"), F.max_by("path", "upto").alias("path")
-    ).first()
-    return (-1, None) if newest.upto is None else (newest.upto, newest.path)
-
-
-def snapshot_upto(spark: SparkSession, root: str, table: EventTable) -> int:
-    return _snapshot(spark, root, table)[0]
-
-
-def read_changes(spark: SparkSession, root: str, table: EventTable) -> DataFrame:
-    """All logged changes; filters on ``batch_id`` prune whole folders."""
-    path = layer_path(root, "curated", f"{table.name}/changes")
-    return spark.read.schema(change_schema(table)).parquet(path)
-
-
 def read_curated(
     spark: SparkSession, root: str, table: EventTable, upto_batch: int | None = None
 ) -> DataFrame:
@@ -108,47 +92,94 @@ def read_curated(
     their file sizes and streams the snapshot past them unshuffled; if they have
     grown beyond its threshold it joins by shuffling both sides instead.
     """
-    upto, path = _snapshot(spark, root, table)
-    changes = read_changes(spark, root, table).where(F.col("batch_id") > upto)
-    if upto_batch is not None:
-        changes = changes.where(F.col("batch_id") <= upto_batch)
-    columns = table.schema.names
+    path, columns = curated_path(root, table), table.schema.names
+    after, folder = batchlog.snapshot_of(spark, path)
+    changes = batchlog.read_batches(spark, path, change_schema(table), after, upto_batch)
     changed = latest_by_key(changes.select(*columns, "batch_id"), table.key, "batch_id").select(*columns)
-    if path is None:
+    if folder is None:
         return changed
-    kept = spark.read.schema(table.schema).parquet(path).join(
+    kept = spark.read.schema(table.schema).parquet(folder).join(
         changed.select(table.key), table.key, "left_anti"
     )
     return kept.select(*columns).unionByName(changed)
 
 
-def write_changes(changes: DataFrame, root: str, table: EventTable, batch_id: int) -> None:
-    """Write one batch of changes, replacing an earlier attempt at the same batch."""
-    path = layer_path(root, "curated", f"{table.name}/changes/batch_id={batch_id}")
-    changes.write.mode("overwrite").parquet(path)
-
-
-def compact(spark: SparkSession, root: str, table: EventTable) -> int | None:
+def compact_curated(spark: SparkSession, root: str, table: EventTable) -> int | None:
     """Fold all changes into a new snapshot; returns its last batch, ``None`` if nothing is new.
 
     The snapshot is range-partitioned and sorted by event time, so file statistics
-    let time-window queries skip most of it; the key in the range splits a time
-    that very many rows share. It is written whole before a row in ``snapshots``
-    makes it current. Older folders stay until they are removed separately.
+    let time-window queries skip most of it; key and load time in the range split an
+    event time that very many rows share.
     """
-    upto, _ = _snapshot(spark, root, table)
-    last = read_changes(spark, root, table).agg(F.max("batch_id")).first()[0]
-    if last is None or last <= upto:
-        return None
-    path = layer_path(root, "curated", f"{table.name}/snapshot/upto={last}")
-    (
-        read_curated(spark, root, table, last)
-        .repartitionByRange("event_ts", table.key)
-        .sortWithinPartitions("event_ts", table.key)
-        .write.mode("overwrite").parquet(path)
-    )
-    (
-        spark.createDataFrame([(last, path)], SNAPSHOTS)
-        .write.mode("append").parquet(layer_path(root, "curated", f"{table.name}/snapshots"))
+    path = curated_path(root, table)
+    last = batchlog.last_batch(spark, path, change_schema(table))
+    if last is not None:
+        rows = read_curated(spark, root, table, last)
+        order = ("event_ts", table.key, "load_time")
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        batchlog.publish_snapshot(spark, rows, path, last)
+    return last
+
+
+def read_offsets(spark: SparkSession, root: str) -> DataFrame:
+    """group, topic, partition, committed: every commit; the furthest one counts."""
+    after, folder = batchlog.snapshot_of(spark, offsets_path(root))
+    commits = batchlog.read_batches(spark, offsets_path(root), COMMITTED, after).drop("batch_id")
+    if folder is None:
+        return commits
+    return spark.read.schema(COMMITTED).parquet(folder).unionByName(commits)
+
+
+def compact_offsets(spark: SparkSession, root: str) -> int | None:
+    """Keep one commit per group and topic partition."""
+    last = batchlog.last_batch(spark, offsets_path(root), COMMITTED)
+    if last is not None:
+        furthest = read_offsets(spark, root).groupBy("group", "topic", "partition").agg(
+            F.max("committed").alias("committed")
+        )
+        batchlog.publish_snapshot(spark, furthest, offsets_path(root), last)
+    return last
+
+
+def read_minutes(spark: SparkSession, root: str, stored: str) -> DataFrame:
+    """Stored per-minute values: for each minute those of the last batch that wrote it."""
+    path, names = layer_path(root, "analytics", stored), MINUTES[stored].names
+    after, folder = batchlog.snapshot_of(spark, path)
+    log = batchlog.read_batches(spark, path, minutes_schema(stored), after)
+    if folder is not None:
+        folded = spark.read.schema(MINUTES[stored]).parquet(folder).select(
+            "*", F.lit(True).alias("present"), F.lit(after).cast("bigint").alias("batch_id")
+        )
+        log = log.unionByName(folded)
+    latest = log.groupBy("minute").agg(
+        F.max_by(F.struct("present", *names[1:]), "batch_id").alias("value")
     )
+    return latest.where("value.present").select("minute", *[f"value.{n}" for n in names[1:]])
+
+
+def compact_minutes(spark: SparkSession, root: str, stored: str) -> int | None:
+    """Fold the batches of a stored metric into a new snapshot."""
+    path = layer_path(root, "analytics", stored)
+    last = batchlog.last_batch(spark, path, minutes_schema(stored))
+    if last is not None:
+        batchlog.publish_snapshot(spark, read_minutes(spark, root, stored), path, last)
     return last
+
+
+def compact_all(spark: SparkSession, root: str, *, remove: bool = False) -> None:
+    """Compact every table; with ``remove`` also delete what the snapshots have replaced.
+
+    Run it between promotion batches: offsets and metrics are folded up to the batch
+    that was last when the call began.
+    """
+    paths = [offsets_path(root)]
+    compact_offsets(spark, root)
+    for table in TABLES.values():
+        compact_curated(spark, root, table)
+        paths.append(curated_path(root, table))
+    for stored in MINUTES:
+        compact_minutes(spark, root, stored)
+        paths.append(layer_path(root, "analytics", stored))
+    if remove:
+        for path in paths:
+            batchlog.remove_folded(spark, path)

@@ -8,23 +8,18 @@ metric is a log: per minute the last batch that wrote it counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paypulse.functions.time import bucket_start
 from paypulse.operators.metrics import order_conversion, payment_minutes
-from paypulse.schemas import ORDERS, PAYMENTS, EventTable
-from paypulse.session import broadcast_if_small
-from paypulse.sources.layers import layer_path, read_changes, read_curated
-
-_N, _L, _D = T.TimestampNTZType(), T.LongType(), T.DoubleType()
-# The stored tables: what one recomputation of a minute yields.
-STORED = {
-    "payment_minutes": {
-        "revenue": _D, "total_payments": _L, "failed_payments": _L, "failure_rate_pct": _D,
-    },
-    "order_minutes": {"total_orders": _L, "paid_orders": _L, "conversion_rate_pct": _D},
-}
-# The metrics read from them.
+from paypulse.schemas import MINUTES, ORDERS, PAYMENTS, EventTable
+from paypulse.session import is_small
+from paypulse.sources import batchlog
+from paypulse.sources.layers import (
+    change_schema, curated_path, layer_path, read_curated, read_minutes,
+)
+
+# The metrics and the stored columns they consist of.
 METRICS = {
     "revenue_per_minute": ("payment_minutes", ("revenue",)),
     "payment_failure_rate": (
@@ -71,16 +66,18 @@ def _in_minutes(rows: DataFrame, minutes: DataFrame) -> DataFrame:
 
 def _store(values: DataFrame, minutes: DataFrame, root: str, stored: str, batch_id: int) -> None:
     """Store the new values of ``minutes``; a minute without rows is stored as gone."""
-    names = list(STORED[stored])
+    names = MINUTES[stored].names[1:]
     values = values.select(F.col("minute").alias("_minute"), *names, F.lit(True).alias("_found"))
     rows = minutes.join(values, F.col("minute").eqNullSafe(F.col("_minute")), "left").select(
         "minute", *names, F.coalesce("_found", F.lit(False)).alias("present")
     )
-    rows.write.mode("overwrite").parquet(f"{layer_path(root, 'analytics', stored)}/batch_id={batch_id}")
+    batchlog.write_batch(rows, layer_path(root, "analytics", stored), batch_id)
 
 
 def _changes_of(spark: SparkSession, root: str, table: EventTable, batch_id: int) -> DataFrame:
-    return read_changes(spark, root, table).where(F.col("batch_id") == batch_id)
+    return batchlog.read_batches(
+        spark, curated_path(root, table), change_schema(table), batch_id - 1, batch_id
+    )
 
 
 def update_metrics(spark: SparkSession, root: str, batch_id: int) -> None:
@@ -109,9 +106,10 @@ def update_metrics(spark: SparkSession, root: str, batch_id: int) -> None:
         _store(payment_minutes(touched), paid_minutes, root, "payment_minutes", batch_id)
 
         their_orders = _in_minutes(orders, order_minutes).select("event_ts", "order_id").persist()
-        ids = broadcast_if_small(their_orders.select("order_id").distinct())
-        their_payments = payments.join(ids, "order_id", "left_semi")
-        conversion = order_conversion(their_orders, their_payments)
+        ids = their_orders.select("order_id").distinct()
+        if is_small(ids):
+            payments = payments.join(F.broadcast(ids), "order_id", "left_semi")
+        conversion = order_conversion(their_orders, payments)
         _store(conversion, order_minutes, root, "order_minutes", batch_id)
         their_orders.unpersist()
     finally:
@@ -120,14 +118,6 @@ def update_metrics(spark: SparkSession, root: str, batch_id: int) -> None:
 
 
 def read_metric(spark: SparkSession, root: str, metric: str) -> DataFrame:
-    """The stored metric: per minute the value of the last batch that touched it."""
+    """The stored metric as of the last promoted batch."""
     stored, names = METRICS[metric]
-    schema = T.StructType([T.StructField("minute", _N)])
-    for name, data_type in STORED[stored].items():
-        schema = schema.add(name, data_type)
-    schema = schema.add("present", T.BooleanType()).add("batch_id", _L)
-    log = spark.read.schema(schema).parquet(layer_path(root, "analytics", stored))
-    latest = log.groupBy("minute").agg(
-        F.max_by(F.struct("present", *names), "batch_id").alias("value")
-    )
-    return latest.where("value.present").select("minute", *[f"value.{n}" for n in names])
+    return read_minutes(spark, root, stored).select("minute", *names)

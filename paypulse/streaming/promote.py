@@ -11,8 +11,9 @@ from paypulse.operators.health import group_commits
 from paypulse.operators.unpack import unpack
 from paypulse.operators.upsert import latest_by_key
 from paypulse.schemas import ORDERS, PAYMENTS, EventTable
+from paypulse.sources import batchlog
 from paypulse.sources.layers import (
-    layer_path, new_rows, read_curated, snapshot_upto, write_changes,
+    compact_all, curated_path, layer_path, new_rows, offsets_path, read_curated,
 )
 from paypulse.streaming.incremental import update_metrics
 
@@ -27,33 +28,38 @@ def promote_batch(spark: SparkSession, new: DataFrame, root: str, table: EventTa
     Only the current rows of the batch's keys take part in the comparison; they are
     found by a semi join whose small side is the batch. The batch is counted first:
     that fills its cache, so Catalyst decides on its true size whether to broadcast it.
+    Rows without a key match nothing; they are added without being joined.
     """
-    if batch_id <= snapshot_upto(spark, root, table):
+    path, columns = curated_path(root, table), table.schema.names
+    if batch_id <= batchlog.snapshot_of(spark, path)[0]:
         return
-    columns = table.schema.names
     rows = latest_by_key(
         new.select(*columns, F.col("offset").alias("seq")), table.key, "load_time", "seq"
     ).persist()
     try:
         if rows.count() == 0:
             return
-        keys = rows.where(F.col(table.key).isNotNull()).select(table.key)
-        current = read_curated(spark, root, table, batch_id - 1).join(keys, table.key, "left_semi")
-        before = current.select(
-            F.col(table.key).alias("_key"), F.struct(*columns).alias("before")
+        keyed = rows.where(F.col(table.key).isNotNull())
+        current = read_curated(spark, root, table, batch_id - 1).join(
+            keyed.select(table.key), table.key, "left_semi"
         )
-        old_load = F.col("before.load_time")
-        winners = rows.join(before, F.col(table.key) == F.col("_key"), "left").where(
-            F.col("_key").isNull() | (F.col("load_time") > old_load)
+        before = current.select(F.col(table.key).alias("_key"), F.struct(*columns).alias("before"))
+        winners = (
+            keyed.join(before, F.col(table.key) == F.col("_key"), "left")
+            .where(F.col("_key").isNull() | (F.col("load_time") > F.col("before.load_time")))
+            .select(*columns, "seq", "before")
+        )
+        keyless = rows.where(F.col(table.key).isNull())
+        batchlog.write_batch(
+            winners.unionByName(keyless, allowMissingColumns=True), path, batch_id
         )
-        write_changes(winners.select(*columns, "seq", "before"), root, table, batch_id)
     finally:
         rows.unpersist()
 
 
 def _write_commits(batch: DataFrame, root: str, batch_id: int) -> None:
-    path = layer_path(root, "curated", f"committed_offsets/batch_id={batch_id}")
-    group_commits(batch, PROMOTE_GROUP).coalesce(1).write.mode("overwrite").parquet(path)
+    commits = group_commits(batch, PROMOTE_GROUP).coalesce(1)
+    batchlog.write_batch(commits, offsets_path(root), batch_id)
 
 
 def start_promote(
@@ -62,6 +68,7 @@ def start_promote(
     trigger: Mapping[str, object] = PROMOTE_TRIGGER,
     *,
     with_metrics: bool = True,
+    compact_every: int | None = None,
     **source_options: str,
 ) -> StreamingQuery:
     """Promote new RAW rows: orders first, then payments, then the metrics they touch.
@@ -69,6 +76,7 @@ def start_promote(
     Both tables share one query, hence one batch number. Every step of a batch
     overwrites its own output folder, so a batch run again after a failure leaves
     the same result. Keep the checkpoint with the tables: batch numbers come from it.
+    ``compact_every`` folds the batch folders into snapshots after that many batches.
     """
     feeds = [
         unpack(
@@ -87,6 +95,8 @@ def start_promote(
             if with_metrics:
                 update_metrics(session, root, batch_id)
             _write_commits(batch, root, batch_id)
+            if compact_every and (batch_id + 1) % compact_every == 0:
+                compact_all(session, root)
         finally:
             batch.unpersist()
 

@@ -13,8 +13,10 @@ from paypulse.operators.unpack import unpack
 from paypulse.operators.upsert import latest_by_key
 from paypulse.plans.monitor import PaymentMonitor
 from paypulse.schemas import ENVELOPE, ORDERS, PAYMENTS, RAW
+from paypulse.sources import batchlog
 from paypulse.sources.layers import (
-    compact, layer_path, new_rows, read_changes, read_curated, register_layers, scan,
+    change_schema, compact_all, compact_curated, curated_path, layer_path, new_rows, offsets_path,
+    read_curated, register_layers, scan,
 )
 from paypulse.sources.topics import read_topics
 from paypulse.streaming.incremental import read_metric, update_metrics
@@ -88,13 +90,13 @@ def test_promotion_in_batches_with_compaction_and_replay(spark, tmp_path, seed):
         start_promote(spark, root, ONCE).awaitTermination()
         assert_consistent(spark, root, records[:end])
         if i == 0:
-            assert compact(spark, root, PAYMENTS) == 0
-            assert compact(spark, root, PAYMENTS) is None
+            assert compact_curated(spark, root, PAYMENTS) == 0
+            assert compact_curated(spark, root, PAYMENTS) is None
             assert_consistent(spark, root, records[:end])
 
     # The last batch again, as after a failure before its commit.
     frame = spark.createDataFrame(records[35:], ENVELOPE)
-    last = read_changes(spark, root, PAYMENTS).agg(F.max("batch_id")).first()[0]
+    last = batchlog.last_batch(spark, curated_path(root, PAYMENTS), change_schema(PAYMENTS))
     for table in (ORDERS, PAYMENTS):
         raw = land_raw(frame.where(F.col("topic") == table.topic), F.col("timestamp"))
         promote_batch(spark, unpack(raw, table, with_position=True), root, table, last)
@@ -102,7 +104,9 @@ def test_promotion_in_batches_with_compaction_and_replay(spark, tmp_path, seed):
     assert_consistent(spark, root, records)
 
     # A batch the snapshot already holds is left alone.
-    assert compact(spark, root, PAYMENTS) == last
+    compact_all(spark, root, remove=True)
+    assert batchlog.snapshot_of(spark, curated_path(root, PAYMENTS))[0] == last
+    assert batchlog.remove_folded(spark, offsets_path(root)) == 0
     promote_batch(spark, unpack(raw, PAYMENTS, with_position=True), root, PAYMENTS, 0)
     assert_consistent(spark, root, records)
 
