@@ -13,7 +13,8 @@ def tumbling_metrics(payments: DataFrame, delay: str = "10 minutes") -> DataFram
     For append-only streams of typed payments. Unlike the metrics kept up to date
     from the CURATED tables, this drops payments later than ``delay`` and payments
     without a time, and in append mode emits a minute only once the watermark has
-    passed its end. State is one small row per open minute.
+    passed its end. State is one small row per open minute. Watermarks need zoned
+    times: run it in a UTC session, where the conversion changes nothing.
     """
     counts = (
         payments.withColumn("_at", F.col("event_ts").cast("timestamp"))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from paypulse.operators.upsert import latest_by_key, merge_into_table, upsert_latest
+from paypulse.operators.upsert import distinct_keys, latest_by_key, merge_into_table, upsert_latest
 
 from tests.conftest import rows_of
 
@@ -23,6 +23,12 @@ def test_latest_by_key(versions):
     )
 
 
+def test_distinct_keys_counts_like_latest_by_key(versions):
+    frame = versions([("a", "x", "10:00", 1), ("a", "y", None, 2), (None, "x", "10:00", 1), (None, "x", "10:00", 1)])
+    assert rows_of(distinct_keys(frame, "k")) == [("a",), (None,), (None,)]
+    assert distinct_keys(frame, ["k", "v"]).count() == latest_by_key(frame, ["k", "v"]).count() == 4
+
+
 def test_upsert_rules(versions):
     target = versions([
         ("tie", "t", "10:00", 0), ("older", "t", "10:00", 0), ("newer", "t", "10:00", 0),
