@@ -90,12 +90,15 @@ def read_curated(
 
     Between compactions the changed keys are few, so Catalyst broadcasts them by
     their file sizes and streams the snapshot past them unshuffled; if they have
-    grown beyond its threshold it joins by shuffling both sides instead.
+    grown beyond its threshold it joins by shuffling both sides instead. A single
+    batch, such as a first load, holds each key once and needs no deduplication.
     """
     path, columns = curated_path(root, table), table.schema.names
     after, folder = batchlog.snapshot_of(spark, path)
-    changes = batchlog.read_batches(spark, path, change_schema(table), after, upto_batch)
-    changed = latest_by_key(changes.select(*columns, "batch_id"), table.key, "batch_id").select(*columns)
+    changed = batchlog.read_batches(spark, path, change_schema(table), after, upto_batch)
+    if upto_batch is None or upto_batch - after > 1:
+        changed = latest_by_key(changed.select(*columns, "batch_id"), table.key, "batch_id")
+    changed = changed.select(*columns)
     if folder is None:
         return changed
     kept = spark.read.schema(table.schema).parquet(folder).join(

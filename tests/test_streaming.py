@@ -93,6 +93,13 @@ def test_promotion_in_batches_with_compaction_and_replay(spark, tmp_path, seed):
             assert compact_curated(spark, root, PAYMENTS) == 0
             assert compact_curated(spark, root, PAYMENTS) is None
             assert_consistent(spark, root, records[:end])
+        if i == 1:
+            # The snapshot is filtered by time in its scan and not shuffled.
+            recent = read_curated(spark, root, PAYMENTS).where("event_ts >= timestamp_ntz '2024-01-01 10:01:00'")
+            text = recent._jdf.queryExecution().executedPlan().toString()
+            snapshot = next(line for line in text.splitlines() if "FileScan" in line and "batch_id" not in line)
+            assert "GreaterThanOrEqual(event_ts" in snapshot
+            assert "LeftAnti" in text and "SortMergeJoin" not in text
 
     # The last batch again, as after a failure before its commit.
     frame = spark.createDataFrame(records[35:], ENVELOPE)
