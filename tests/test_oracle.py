@@ -27,10 +27,10 @@ def normal(value):
 
 
 def test_every_query_has_an_oracle():
-    assert set(driver.oracle_sql()) == set(driver.queries())
+    assert set(driver.core_oracle_sql()) == set(driver.core_queries())
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(driver.core_queries()))
 def test_query(spark, duck, name):
     frame = driver.queries()[name](spark, SF_DIR)
     result = duck.execute(driver.oracle_sql()[name])
