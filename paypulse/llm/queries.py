@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paypulse.llm import chat, exact_dedup, mixing, packing
+from paypulse.llm import chat, exact_dedup, mixing, packing, pii, secrets, spans, toxicity
 from paypulse.llm.shared import read
 
 #: Stands for a conversation whose texts hold control strings.
@@ -40,6 +40,22 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return _scanned(found, secrets.BASE_KINDS)
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(pii.find_personal_data(read(spark, sf_dir, "documents")), pii.BASE_KINDS)
+
+
+def _scanned(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    return found.select(
+        "doc_id", *(spans.count(F.col("spans"), k).alias(f"n_{k}") for k in base),
+        spans.digest(F.col("spans"), base).alias("base_sha256"), spans.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -53,12 +69,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_secret_scan": op2_secret_scan,
+        "op3_personal_data": op3_personal_data,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
