@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paypulse.llm import chat, exact_dedup, mixing, packing, pii, secrets, spans, toxicity
+from paypulse.llm import chat, exact_dedup, mixing, packing, pii, secrets, spans, substring_dedup, toxicity
 from paypulse.llm.shared import read
 
 #: Stands for a conversation whose texts hold control strings.
@@ -69,6 +69,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
+        "op8_substring_dedup": op8_substring_dedup,
         "op10_toxicity": op10_toxicity,
     }
 
