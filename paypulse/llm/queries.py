@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paypulse.llm import chat, exact_dedup, mixing, packing, pii, secrets, spans, substring_dedup, toxicity
+from paypulse.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, secrets, spans, substring_dedup, toxicity
 from paypulse.llm.shared import read
 
 #: Stands for a conversation whose texts hold control strings.
@@ -60,6 +60,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_personal_data": op3_personal_data,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_near_dedup": op5_near_dedup,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
         "op8_substring_dedup": op8_substring_dedup,
