@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paypulse.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, secrets, spans, substring_dedup, toxicity
+from paypulse.llm import chat, embedding_dedup, exact_dedup, mixing, near_dedup, packing, pii, secrets, spans, substring_dedup, toxicity
 from paypulse.llm.shared import read
 
 #: Stands for a conversation whose texts hold control strings.
@@ -77,10 +77,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -91,7 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_toxicity": op10_toxicity,
+        "pipeline": pipeline,
     }
 
 
