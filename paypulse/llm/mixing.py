@@ -143,18 +143,15 @@ def mix_sources(
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it takes them, in its order, with their columns."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    turns = (
-        mix_sources(docs, weights).where("copies > 0")
-        .groupBy("doc_id", "source", "size")
-        .agg(F.max("copies").alias("copies"), F.min("first_finish").alias("finish"), F.max("source_size").alias("round"),
-             F.max("target").alias("target"))
+    turns = mix_sources(docs, weights).where("copies > 0").groupBy("doc_id", "source", "size").agg(
+        F.max("copies").alias("copies"), F.min("first_finish").alias("finish"),
+        F.max(F.col("source_size") / F.col("target")).alias("round"),
     )
-    d, t = docs.withColumn("__size", size).alias("d"), turns.alias("t")
+    turns = turns.withColumnsRenamed({c: f"__{c}" for c in turns.columns}).alias("t")
     same = (
-        F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-        & (F.col("d.__size") == F.col("t.size"))
+        F.col("doc_id").eqNullSafe(F.col("t.__doc_id")) & F.col("source").eqNullSafe(F.col("t.__source"))
+        & (size == F.col("t.__size"))
     )
-    joined = d.join(t, same).select(*(F.col(f"d.`{c}`") for c in docs.columns), "copies", "finish", "round", "target")
-    repeated = joined.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    time = F.col("finish") + F.col("__repeat") * F.col("round") / F.col("target")
-    return repeated.withColumn("__time", time).orderBy("__time", "doc_id").select(*docs.columns)
+    taken = docs.join(turns, same).withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    time = F.col("__finish") + F.col("__repeat") * F.col("__round")
+    return taken.orderBy(time, "__doc_id").select(*docs.columns)
