@@ -1,9 +1,9 @@
 """Order-preserving packing of token streams into sequences.
 
 The documents of a partition, in the order they are read, form one stream of token ids, each document followed by an end
-id. A dynamic programme cuts it into windows of at most ``length`` tokens at document ends and sentence ends, minimising
-padding plus a penalty for each cut inside a document; a monotone queue finds each step's best predecessor, so its time
-is linear in the number of possible cuts. Nothing is shuffled: partitions are packed by themselves.
+id. A dynamic programme cuts it into windows of at most ``length`` tokens at document ends and sentence ends, or for a higher
+price inside long sentences, minimising padding plus the penalties of cuts inside documents; a monotone queue finds each
+step's best predecessor, so its time is linear in the number of possible cuts. Nothing is shuffled: partitions are packed by themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 LENGTH = 2048
 END_ID = 1
 #: In tokens of padding: what a cut at a sentence end costs, and one inside a sentence.
-SENTENCE_PENALTY, BREAK_PENALTY = 8, 32
+SENTENCE_PENALTY, BREAK_PENALTY = 8, 24
+#: Longer sentences may be broken at every so many of their tokens.
+BREAK_TOKENS = 32
 #: Documents are cut together until they hold so many tokens; only a partition's last window may need much padding.
 BLOCK_TOKENS = 1 << 21
 #: Ids are kept for so many words of a worker; beyond that the memory is cleared and filled anew.
@@ -103,20 +105,17 @@ def possible_cuts(
     ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray, length: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Positions where ``ids`` may be cut, with penalties: document ends, sentence ends, breaks in longer sentences."""
-    sentences = np.flatnonzero(ends_sentence[ids]) + 1
-    cuts = np.unique(np.concatenate(([0], sentences, ends)))
-    gaps = np.diff(cuts)
-    long = np.flatnonzero(gaps > length)
-    if len(long):
-        breaks = [np.arange(cuts[k] + length, cuts[k + 1], length) for k in long]
-        cuts = np.unique(np.concatenate([cuts, *breaks]))
-        broken = np.concatenate(breaks)
-    else:
-        broken = np.empty(0, np.int64)
-    penalties = np.full(len(cuts), SENTENCE_PENALTY)
-    penalties[np.isin(cuts, broken)] = BREAK_PENALTY
-    penalties[np.isin(cuts, ends)] = 0
-    return cuts, penalties
+    kinds = np.full(len(ids) + 1, -1, np.int8)
+    kinds[0] = 0
+    kinds[1:][ends_sentence[ids]] = SENTENCE_PENALTY
+    kinds[ends] = 0
+    cuts = np.flatnonzero(kinds >= 0)
+    step = min(BREAK_TOKENS, length)
+    more = (np.diff(cuts) - 1) // step
+    place = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    kinds[np.repeat(cuts[:-1], more) + place * step] = BREAK_PENALTY
+    cuts = np.flatnonzero(kinds >= 0)
+    return cuts, kinds[cuts].astype(np.int64)
 
 
 def _tail(start: int, end: int, length: int) -> list[int]:
@@ -140,8 +139,7 @@ def pack(
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and padded, the padded length of its
     sequence (its own length where that is a power of two, else ``length``). Documents are packed in the order they are
     read, each partition by itself, and a sequence id holds the partition's number. A null or empty text is the end id
-    alone. Repeated rows are packed as often as they come; a null id is carried. An empty table gives no rows. Longer
-    sentences than a window are broken. Other columns are not read.
+    alone. Repeated rows are packed as often as they come; a null id is carried. An empty table gives no rows. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
