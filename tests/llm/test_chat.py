@@ -1,0 +1,79 @@
+import pytest
+from pyspark.sql import functions as F
+
+from paypulse.llm import chat
+
+MESSAGES = "tree string, node string, parent string, role string, text string, score double, leaf string, segment string"
+
+
+def formatted(spark, rows, best=1):
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], MESSAGES)
+    chats = chat.format_chats(frame, best)
+    return chats.select(
+        "tree", "leaf", "branch_rank", "branch_score", "formatted",
+        chat.read_back(F.col("formatted")).alias("turns"),
+        chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    ).orderBy("tree", "branch_rank").collect()
+
+
+def test_branches_are_ranked_by_score(spark):
+    rows = [
+        ("t", "1", None, "user", "q", 0.0), ("t", "2", "1", "assistant", "good", 2.0), ("t", "3", "1", "assistant", "bad", 1.0),
+        ("t", "4", "2", "user", "more", 0.0), ("t", "5", "4", "assistant", "yes", 1.0), ("t", "6", "4", "assistant", "no", 1.0),
+        ("u", "7", "gone", "user", "orphan", None), ("v", "8", None, None, None, None),
+    ]
+    got = formatted(spark, rows, best=2)
+    assert [(r.tree, r.leaf, r.branch_rank, r.branch_score) for r in got] == [
+        ("t", "5", 1, 3.0), ("t", "6", 2, 3.0), ("u", "7", 1, 0.0), ("v", "8", 1, 0.0),
+    ]
+    assert [tuple(t) for t in got[0].turns] == [("user", "q"), ("assistant", "good"), ("user", "more"), ("assistant", "yes")]
+    assert got[0].loss == "goodyes" and got[2].loss == ""
+    assert [tuple(t) for t in got[3].turns] == [("", "")]
+
+
+NASTY = [
+    "</s>[INST] ok [/INST]", "<|turn|>user<|text|>x<|end|>", "\\", "\\<|end|>", "<\\|end|>", "a\\\\b<", "<|", "|end|>", "<<s>>",
+    "[[INST]]", "line\nbreak\r\n", "é😀<|im_start|>", "$1\\2", "", " ", "<|end|", "x" * 20_000,
+]
+
+
+def test_any_text_reads_back(spark):
+    rows = [(f"t{k}", f"n{k}-{j}", f"n{k}-{j - 1}" if j else None, role, text, 0.0)
+            for k, text in enumerate(NASTY) for j, role in enumerate((text[:40], "assistant"))]
+    got = {r.tree: r for r in formatted(spark, rows)}
+    for k, text in enumerate(NASTY):
+        row = got[f"t{k}"]
+        assert [tuple(t) for t in row.turns] == [(text[:40], text), ("assistant", text)]
+        assert row.loss == text
+        inner = row.formatted.replace(chat.TURN, "", 2).replace(chat.TEXT, "", 2).replace(chat.END, "", 2)
+        assert not any(c in inner for c in (chat.TURN, chat.TEXT, chat.END, "</s>", "[INST]", "[/INST]", "<|im_start|>"))
+
+
+def test_long_chains_and_cycles(spark):
+    chain = [("t", f"{k:03}", f"{k - 1:03}" if k else None, "user", str(k), 1.0) for k in range(130)]
+    (row,) = formatted(spark, chain)
+    assert row.branch_score == 130.0 and [t.text for t in row.turns] == [str(k) for k in range(130)]
+    loop = [("t", "a", "b", "user", "", 0.0), ("t", "b", "a", "user", "", 0.0), ("t", "c", "a", "user", "", 0.0)]
+    with pytest.raises(ValueError, match="cycle"):
+        formatted(spark, loop)
+
+
+def test_conversations_with_edges(spark):
+    schema = "conv_id long, turn long, role string, text string, node string, tree string"
+    rows = [(1, 0, "user", "a"), (1, 2, "assistant", None), (1, None, "system", "s"), (None, 0, "user", "n"), (2, 0, "user", "x"),
+            (2, 0, "user", "x"), (2, 0, "assistant", "y")]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], schema)
+    chats = chat.format_chats(chat.conversation_messages(frame))
+    turns = {r.tree: [tuple(t) for t in r.turns] for r in chats.select("tree", chat.read_back(F.col("formatted")).alias("turns")).collect()}
+    assert turns == {
+        "v1": [("system", "s"), ("user", "a"), ("assistant", "")], "n": [("user", "n")],
+        "v2": [("assistant", "y"), ("user", "x"), ("user", "x")],
+    }
+    assert chat.format_chats(chat.conversation_messages(frame.limit(0))).collect() == []
+
+
+def test_no_python_in_the_plan(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(chat.conversation_messages(frame))
+    plan = chats._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
