@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from paypulse.functions.time import as_utc, minutes_before, ntz
 from paypulse.functions.variant import log_position
-from paypulse.session import is_small
 
 # Span of the throughput counts, topics and consumer group of the summary.
 THROUGHPUT_MINUTES = 5
@@ -68,17 +67,15 @@ def total_lag(log: DataFrame, committed: DataFrame, topic: str, group: str) -> D
 def new_records(log: DataFrame, committed: DataFrame, group: str) -> DataFrame:
     """The records of ``log`` that ``group`` has not consumed yet.
 
-    There is one commit row per topic partition. If the count confirms that they are
-    few they are broadcast and the log itself is not shuffled; otherwise Catalyst
-    joins by shuffling, and adaptive execution splits a partition that is too large.
+    There is one commit row per topic partition. Where they are small enough Catalyst
+    broadcasts them and does not shuffle the log; otherwise it joins by shuffling, and
+    adaptive execution splits a partition that is too large.
     """
     commits = (
         committed.where(F.col("group") == group)
         .groupBy("topic", "partition")
         .agg(F.max("committed").alias("_committed"))
     )
-    if is_small(commits):
-        commits = F.broadcast(commits)
     return (
         log.join(commits, ["topic", "partition"], "left")
         .where(F.col("offset") >= F.coalesce("_committed", F.lit(0)))

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 _OBJECT_START = r"^[ \t\n\r]*\{"
 
-# Flush bounds of the ingest buffer.
+# Flush thresholds of the ingest buffer.
 BUFFER_RECORDS = 5000
 BUFFER_SECONDS = 30
-BUFFER_BYTES = 5_000_000
 
 
 def _reject_reason() -> Column:
@@ -71,16 +70,16 @@ def ingest_options(
     source: str,
     records: int = BUFFER_RECORDS,
     seconds: int = BUFFER_SECONDS,
-    size: int = BUFFER_BYTES,
+    size: int | None = None,
 ) -> tuple[dict[str, str], dict[str, str]]:
-    """Reader options and trigger that bound a micro-batch by records, time and bytes.
+    """Reader options and trigger that flush at whichever comes first of records and time.
 
-    The Kafka source bounds records, file sources bound bytes; both start a batch
-    every ``seconds``. The bounds are per batch of the whole stream: raise them
-    with the number of input partitions.
+    These are thresholds, not ceilings: a batch takes all that has arrived. From Kafka one
+    starts as soon as ``records`` wait, or after ``seconds``, and the next as soon as it is
+    done. File sources know no such threshold; they start a batch every ``seconds`` with all
+    new files. ``size`` bounds the bytes of a file batch, for a backlog that is read in parts.
     """
     if source == "kafka":
-        reader = {"maxOffsetsPerTrigger": str(records)}
-    else:
-        reader = {"maxBytesPerTrigger": str(size)}
+        return {"minOffsetsPerTrigger": str(records), "maxTriggerDelay": f"{seconds}s"}, {"processingTime": "0 seconds"}
+    reader = {} if size is None else {"maxBytesPerTrigger": str(size)}
     return reader, {"processingTime": f"{seconds} seconds"}

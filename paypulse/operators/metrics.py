@@ -14,9 +14,9 @@ from paypulse.functions.ratio import safe_pct
 from paypulse.functions.time import as_utc, bucket_ceil, bucket_start, minutes_before, ntz
 from paypulse.schemas import FAILED, PAID
 
-# Default spans in minutes, row caps and rounding of the queries.
-REVENUE_MINUTES, REVENUE_CAP = 60, 500
-RATE_MINUTES, RATE_CAP = 10, 200
+# Default spans in minutes and rounding of the queries.
+REVENUE_MINUTES = 60
+RATE_MINUTES = 10
 LOOKBACK_MINUTES, BASELINE_MINUTES = 5, 30
 RATE_DIGITS, MEAN_DIGITS, CHANGE_DIGITS = 2, 2, 1
 
@@ -51,12 +51,18 @@ def payment_failure_rate(payments: DataFrame, grain: str = "minute") -> DataFram
     )
 
 
-def order_conversion(orders: DataFrame, payments: DataFrame, grain: str = "minute") -> DataFrame:
+def order_conversion(
+    orders: DataFrame, payments: DataFrame, grain: str = "minute", *, few_orders: bool = False
+) -> DataFrame:
     """minute, total_orders, paid_orders, conversion_rate_pct, by the order's minute.
 
     An order counts once however many payments it has; payments without an order
     count nowhere.
 
+    With ``few_orders``, for orders that are a part of those ever paid for, payments are
+    reduced to theirs by a semi join first: Catalyst streams all payments past the broadcast
+    ids where these are small enough, so no more than their payments is shuffled.
+
     Both sides are reduced to their distinct keys before the join. The reductions
     combine map-side, so neither an order with a huge number of payments nor an
     order id (or NULL) repeated over many order rows makes a hot join partition;
@@ -65,11 +71,10 @@ def order_conversion(orders: DataFrame, payments: DataFrame, grain: str = "minut
     order_keys = orders.select(
         bucket_start(F.col("event_ts"), grain).alias("minute"), "order_id"
     ).distinct()
-    paid_keys = (
-        payments.where((F.col("status") == PAID) & F.col("order_id").isNotNull())
-        .select(F.col("order_id").alias("paid_id"))
-        .distinct()
-    )
+    paid = payments.where((F.col("status") == PAID) & F.col("order_id").isNotNull())
+    if few_orders:
+        paid = paid.join(orders.select("order_id").distinct(), "order_id", "left_semi")
+    paid_keys = paid.select(F.col("order_id").alias("paid_id")).distinct()
     counts = (
         order_keys.join(paid_keys, F.col("order_id") == F.col("paid_id"), "left")
         .groupBy("minute")
@@ -85,17 +90,19 @@ def _since(rows: DataFrame, start: datetime) -> DataFrame:
     return rows.where(F.col("event_ts") >= ntz(bucket_ceil(start)))
 
 
-def _newest(metric: DataFrame, cap: int) -> DataFrame:
-    return metric.orderBy(F.desc("minute")).limit(int(cap))
+def _newest(metric: DataFrame, cap: int | None) -> DataFrame:
+    """Newest minutes first; all of them unless ``cap`` asks for the newest ones only."""
+    metric = metric.orderBy(F.desc("minute"))
+    return metric if cap is None else metric.limit(int(cap))
 
 
 def revenue_last_minutes(
     payments: DataFrame,
     as_of: datetime | str | None = None,
     minutes: int = REVENUE_MINUTES,
-    cap: int = REVENUE_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Revenue per minute from ``minutes`` before ``as_of`` on, newest first, at most ``cap`` rows."""
+    """Revenue per minute from ``minutes`` before ``as_of`` on, newest first; ``cap`` keeps the newest ones."""
     start = minutes_before(as_utc(as_of), minutes)
     return _newest(revenue_per_minute(_since(payments, start)), cap)
 
@@ -104,7 +111,7 @@ def payment_failure_rate_last(
     payments: DataFrame,
     as_of: datetime | str | None = None,
     minutes: int = RATE_MINUTES,
-    cap: int = RATE_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
     """Failure rate per minute from ``minutes`` before ``as_of`` on, newest first."""
     start = minutes_before(as_utc(as_of), minutes)
@@ -116,14 +123,14 @@ def order_conversion_last(
     payments: DataFrame,
     as_of: datetime | str | None = None,
     minutes: int = RATE_MINUTES,
-    cap: int = RATE_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
     """Conversion per minute from ``minutes`` before ``as_of`` on, newest first.
 
     Only orders are restricted in time: a payment may come any time after its order.
     """
     start = minutes_before(as_utc(as_of), minutes)
-    return _newest(order_conversion(_since(orders, start), payments), cap)
+    return _newest(order_conversion(_since(orders, start), payments, few_orders=True), cap)
 
 
 def revenue_anomaly(

@@ -55,8 +55,10 @@ class PaymentMonitor:
         )
         return read_only_sql(self.spark, query, limit)
 
-    def revenue_last_minutes(self, minutes: int = metrics.REVENUE_MINUTES) -> DataFrame:
-        return metrics.revenue_last_minutes(self.payments, self.as_of, minutes)
+    def revenue_last_minutes(
+        self, minutes: int = metrics.REVENUE_MINUTES, cap: int | None = None
+    ) -> DataFrame:
+        return metrics.revenue_last_minutes(self.payments, self.as_of, minutes, cap)
 
     def revenue_anomaly(
         self,
@@ -65,11 +67,15 @@ class PaymentMonitor:
     ) -> DataFrame:
         return metrics.revenue_anomaly(self.payments, self.as_of, lookback_minutes, baseline_minutes)
 
-    def payment_failure_rate(self, minutes: int = metrics.RATE_MINUTES) -> DataFrame:
-        return metrics.payment_failure_rate_last(self.payments, self.as_of, minutes)
+    def payment_failure_rate(
+        self, minutes: int = metrics.RATE_MINUTES, cap: int | None = None
+    ) -> DataFrame:
+        return metrics.payment_failure_rate_last(self.payments, self.as_of, minutes, cap)
 
-    def order_conversion_rate(self, minutes: int = metrics.RATE_MINUTES) -> DataFrame:
-        return metrics.order_conversion_last(self.orders, self.payments, self.as_of, minutes)
+    def order_conversion_rate(
+        self, minutes: int = metrics.RATE_MINUTES, cap: int | None = None
+    ) -> DataFrame:
+        return metrics.order_conversion_last(self.orders, self.payments, self.as_of, minutes, cap)
 
     def end_offsets(self, topic: str) -> DataFrame:
         return health.end_offsets(self.log, topic)
@@ -77,6 +83,14 @@ class PaymentMonitor:
     def consumer_lag(self, topic: str, group: str = PROMOTE_GROUP) -> DataFrame:
         return health.consumer_lag(self.log, self.committed, topic, group)
 
+    def total_lag(self, topic: str, group: str = PROMOTE_GROUP) -> DataFrame:
+        return health.total_lag(self.log, self.committed, topic, group)
+
+    def ingest_throughput(self, minutes: int = health.THROUGHPUT_MINUTES) -> DataFrame:
+        return health.ingest_throughput(
+            self.raw_orders, self.raw_payments, self.orders, self.payments, self.as_of, minutes
+        )
+
     def pipeline_summary(self, group: str = PROMOTE_GROUP) -> DataFrame:
         return health.pipeline_summary(
             self.log, self.committed, self.raw_orders, self.raw_payments,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Everything a cluster operator may want to override stays overridable through
 # ``extra`` or spark-submit --conf; these are the settings the operators expect.
@@ -35,16 +36,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="paypulse-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def is_small(df: DataFrame, max_rows: int = 200_000) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; counting stops one row later.
-
-    A size check before broadcasting narrow frames (keys, minutes, offsets) whose
-    planner estimate is far too high because they are aggregates over large inputs.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from paypulse.functions.time import bucket_start
 from paypulse.operators.metrics import order_conversion, payment_minutes
 from paypulse.schemas import MINUTES, ORDERS, PAYMENTS, EventTable
-from paypulse.session import is_small
 from paypulse.sources import batchlog
 from paypulse.sources.layers import (
     change_schema, curated_path, layer_path, read_curated, read_minutes,
@@ -105,13 +104,9 @@ def update_metrics(spark: SparkSession, root: str, batch_id: int) -> None:
         touched = _in_minutes(payments, paid_minutes)
         _store(payment_minutes(touched), paid_minutes, root, "payment_minutes", batch_id)
 
-        their_orders = _in_minutes(orders, order_minutes).select("event_ts", "order_id").persist()
-        ids = their_orders.select("order_id").distinct()
-        if is_small(ids):
-            payments = payments.join(F.broadcast(ids), "order_id", "left_semi")
-        conversion = order_conversion(their_orders, payments)
+        their_orders = _in_minutes(orders, order_minutes).select("event_ts", "order_id")
+        conversion = order_conversion(their_orders, payments, few_orders=True)
         _store(conversion, order_minutes, root, "order_minutes", batch_id)
-        their_orders.unpersist()
     finally:
         paid_minutes.unpersist()
         order_minutes.unpersist()

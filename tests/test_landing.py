@@ -80,8 +80,11 @@ def test_route(spark):
     assert {name: frame.count() for name, frame in tables.items()} == {"first": 3, "second": 1}
 
 
-def test_ingest_options():
-    assert ingest_options("kafka") == ({"maxOffsetsPerTrigger": "5000"}, {"processingTime": "30 seconds"})
+def test_ingest_options_are_thresholds_and_no_ceilings():
+    assert ingest_options("kafka") == (
+        {"minOffsetsPerTrigger": "5000", "maxTriggerDelay": "30s"}, {"processingTime": "0 seconds"},
+    )
+    assert ingest_options("parquet") == ({}, {"processingTime": "30 seconds"})
     assert ingest_options("parquet", size=7, seconds=2) == (
         {"maxBytesPerTrigger": "7"}, {"processingTime": "2 seconds"},
     )

@@ -11,7 +11,7 @@ from paypulse.operators.metrics import revenue_per_minute
 from paypulse.plans import inputs
 
 SF = "/root/testdata/sf0.001"
-BATCH_QUERIES = [n for n in driver.queries() if not n.startswith("stream_")]
+BATCH_QUERIES = [n for n in driver.core_queries() if not n.startswith("stream_")]
 
 
 def plan(frame):
@@ -24,14 +24,14 @@ def scans(text):
 
 @pytest.mark.parametrize("name", BATCH_QUERIES)
 def test_no_python_and_no_cross_join(spark, name):
-    text = plan(driver.queries()[name](spark, SF))
+    text = plan(driver.core_queries()[name](spark, SF))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Arrow"):
         assert bad not in text
 
 
 def test_time_filter_reaches_the_scan(spark):
     for name in ("revenue_last_minutes", "payment_failure_rate_last", "revenue_anomaly"):
-        text = plan(driver.queries()[name](spark, SF))
+        text = plan(driver.core_queries()[name](spark, SF))
         assert "GreaterThanOrEqual(ts," in text, name
     text = plan(driver.order_conversion_last(spark, SF))
     assert "GreaterThanOrEqual(o_orderdate," in text
