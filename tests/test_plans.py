@@ -69,7 +69,7 @@ def test_conversion_reduces_both_sides_before_the_join(spark):
 
 
 def test_no_sort_below_the_top_k(spark):
-    text = plan(driver.revenue_last_minutes(spark, SF))
+    text = plan(driver.order_conversion_newest(spark, SF))
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
 
 
@@ -85,11 +85,28 @@ def test_latest_by_key_limits_groups_before_the_shuffle(spark):
 
 
 def test_new_records_does_not_shuffle_the_log(spark):
-    text = plan(driver.append_only_delta(spark, SF))
-    assert "BroadcastHashJoin" in text
+    frame = driver.append_only_delta(spark, SF)
+    frame.collect()
+    assert "BroadcastHashJoin" in plan(frame)
 
 
 def test_conversion_last_filters_orders_only(spark):
     orders, payments = inputs.star_orders(spark, SF), inputs.star_payments(spark, SF)
     text = plan(metrics.order_conversion_last(orders, payments, "1998-01-01", 60))
     assert "EqualTo(l_returnflag" not in text or "GreaterThanOrEqual(l_shipdate" not in text
+
+
+def test_conversion_last_reduces_payments_before_their_shuffle(spark):
+    frame = driver.order_conversion_last(spark, SF)
+    broadcast = sorted(map(tuple, frame.collect()))
+    final = plan(frame).split("== Initial Plan ==")[0]
+    # The scan of the payments meets the ids of the orders first, and only then an exchange.
+    scan = next(k for k, line in enumerate(final.splitlines()) if "l_orderkey" in line and "FileScan" in line)
+    above = [line for line in final.splitlines()[:scan][::-1] if "Join" in line or "Exchange hash" in line]
+    assert "LeftSemi" in above[0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, driver.order_conversion_last(spark, SF).collect())) == broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
