@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paypulse.llm.shared import rolling, shuffle_partitions, word_pieces
+from paypulse.llm.shared import groups, mix, rolling, shuffle_partitions, word_pieces
 
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
@@ -131,28 +131,31 @@ def _lists(held: list[tuple], rule: _Rule, shard_bits: int, width: int) -> pa.Re
 
 
 def _by_shard(lists: DataFrame, partitions: int, shard_bits: int, width: int, rule: _Rule) -> DataFrame:
-    """Deals lists by shard and gives back (doc_id, lists): each document's found hashes, cut to ``OWN_BYTES``."""
-
-    def give_back(ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        starts = _starts(ids)
-        own = hashes[order].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :OWN_BYTES]
-        found = [own[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(found, pa.binary())], ["doc_id", "hashes"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Deals lists by shard and gives back (doc_id, hashes): a row for each document that has any, with its found hashes
+    cut to ``OWN_BYTES``. On the way back they are dealt in lists, too, by the documents' buckets."""
+
+    def for_buckets(ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        buckets = (mix(ids.astype(np.uint64)) >> np.uint64(64 - shard_bits)).astype(np.int64)
+        order = np.lexsort((ids, buckets))
+        ids, hashes, buckets = ids[order], hashes[order], buckets[order]
+        starts, rows = _starts(buckets), []
+        for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True):
+            own, places = np.unique(ids[a:b], return_inverse=True)
+            rows.append(_encode(own, places, hashes[a:b], np.zeros(b - a, bool), 0, OWN_BYTES))
+        return pa.RecordBatch.from_arrays([pa.array(buckets[starts].astype(np.int32)), pa.array(rows, pa.binary())], ["shard", "hashes"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result() -> pa.RecordBatch:
             ids, hashes, flags = (np.concatenate(x) for x in zip(*held, strict=True))
             chosen = rule.found(ids, flags, *_extremes(ids, hashes))
-            return give_back(ids[chosen], hashes[chosen])
+            return for_buckets(ids[chosen], hashes[chosen])
 
         shard, held = None, []
         for batch in batches:
             for next_shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 entries = _decode(next_shard, data.as_py(), shard_bits, width)
                 if next_shard < 0:
-                    yield give_back(*entries[:2])
+                    yield for_buckets(*entries[:2])
                     continue
                 if next_shard != shard and held:
                     yield result()
@@ -162,14 +165,24 @@ def _by_shard(lists: DataFrame, partitions: int, shard_bits: int, width: int, ru
         if held:
             yield result()
 
-    dealt = lists.repartition(partitions, "shard").sortWithinPartitions("shard")
-    found = dealt.mapInArrow(run, "doc_id long, hashes binary")
-    return found.groupBy("doc_id").agg(F.collect_list("hashes").alias("lists"))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches, 1):
+            ids, hashes, _ = (np.concatenate(x) for x in zip(*(_decode(0, data, 0, OWN_BYTES) for (data,) in rows), strict=True))
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            starts = _starts(ids)
+            own = hashes[order].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :OWN_BYTES]
+            found = [own[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(found, pa.binary())], ["doc_id", "hashes"])
+
+    dealt = lists.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(find, _LISTS)
+    back = dealt.repartition(partitions, "shard").sortWithinPartitions("shard")
+    return back.mapInArrow(gather, "doc_id long, hashes binary")
 
 
-def _own_hashes(lists: pa.Scalar) -> np.ndarray:
-    """The sorted distinct hashes, cut to ``OWN_BYTES``, of a document's gathered lists."""
-    data = b"".join(x for x in lists.as_py() or ())
+def _own_hashes(found: pa.Scalar) -> np.ndarray:
+    """The sorted distinct hashes, cut to ``OWN_BYTES``, of a document."""
+    data = found.as_py() or b""
     keys = np.zeros((len(data) // OWN_BYTES, 8), np.uint8)
     keys[:, :OWN_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, OWN_BYTES)
     return np.unique(keys.reshape(-1).view(">u8").astype(np.uint64))
@@ -270,8 +283,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     by_id = texts.repartition(partitions, "doc_id")
     hits = _by_shard(texts.mapInArrow(probe, _LISTS), partitions, shard_bits, width, HITS)
-    around = by_id.join(hits, "doc_id").select("doc_id", "text", "lists")
+    around = by_id.join(hits, "doc_id").select("doc_id", "text", "hashes")
     repeats = _by_shard(around.mapInArrow(extend, _LISTS), partitions, shard_bits, 8, REPEATS)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    out = by_id.join(repeats, "doc_id", "left").select("doc_id", "text", "lists").mapInArrow(remove, schema)
+    out = by_id.join(repeats, "doc_id", "left").select("doc_id", "text", "hashes").mapInArrow(remove, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
