@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame
 from paypulse.operators.metrics import order_conversion, payment_failure_rate, revenue_per_minute
 from paypulse.operators.unpack import unpack_orders, unpack_payments
 
+#: The names ad-hoc queries may use.
+VIEWS = (
+    "curated_orders", "curated_payments", "v_revenue_per_minute", "v_payment_failure_rate", "v_order_conversion",
+    "raw_orders_events", "v_orders", "raw_payments_events", "v_payments",
+)
+
 
 def register_views(
     *,
