@@ -8,7 +8,8 @@ which ``THRESHOLD`` isn't too unlikely are verified on their texts.
 
 Equal sets count as one. A bucket is not paired out: its members are first compared with its hub, the member that shares
 most with others, and what then hangs together needs no more comparisons. Only members that are still apart are compared
-with each other, by their sketches in blocks of bounded size; pairs leave a task only if they are likely links.
+with each other, in blocks of bounded size: likely pairs are verified in the task that finds them, as long as they are apart,
+so no more links leave it than connect its members.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: A pair is verified unless its best similarity is e to this power times likelier than the threshold.
 DOUBT = 7.0
 #: Members of a bucket that one task compares with each other; texts that one hub's group holds.
-BLOCK, GROUP = 1024, 64
+BLOCK, GROUP = 512, 64
+#: A task keeps so many bytes of shingle sets of a group.
+SET_BYTES = 64_000_000
 NO_ID = 2**63 - 1
 
 _RNG = np.random.default_rng(85)
@@ -106,6 +109,8 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np
     equal = np.count_nonzero(a == b, axis=1)
     out &= equal >= REGISTERS * least - 5 * np.sqrt(REGISTERS * least * (1 - least))
     k = np.flatnonzero(out)
+    if not len(k):
+        return out
     larger = np.count_nonzero(a[k] > b[k], axis=1)
     equal = equal[k]
     smaller = REGISTERS - equal - larger
@@ -114,7 +119,7 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np
         return np.clip(-np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE), 1e-9, 1 - 1e-9)
 
     best, at_least = np.full(len(k), -np.inf), np.full(len(k), -np.inf)
-    for j in np.append(np.arange(0.5, 1, 0.01), [least, 1.0]):
+    for j in (0.5, 0.6, 0.7, 0.75, 0.8, least, 0.88, 0.91, 0.94, 0.97, 1.0):
         j = np.minimum(j, largest[k])
         more, less = step(u[k] - v[k] * j), step(v[k] - u[k] * j)
         value = larger * np.log(more) + smaller * np.log(less) + equal * np.log(np.maximum(1 - more - less, 1e-9))
@@ -142,6 +147,7 @@ def _likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (hub, node) that are links, as (a, b); ``texts``: (node, text). A hub's text is sent once for each
     ``GROUP`` of its nodes, and read as one stream with theirs."""
+    pairs = cut(pairs)
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("size"))
     group = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).cast("int")
     tasks = cut(pairs.join(sizes, "hub").select("hub", group.alias("part"), "node"))
@@ -159,8 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if not second:
                     group, first = (hub, part), shingles
                 elif group == (hub, part):
-                    shared = len(np.intersect1d(first, shingles, assume_unique=True))
-                    if 100 * shared >= THRESHOLD * (len(first) + len(shingles) - shared):
+                    if _linked(first, shingles):
                         found.append((hub, node))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"]
@@ -170,34 +175,64 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("hub", "part", "second").mapInArrow(run, "a binary, b binary")
 
 
-def _block_pairs(key: int, across: bool, members: list[tuple]) -> list[tuple[bytes, bytes]]:
-    """Likely pairs of different components among the members (block, node, n, component, sketch) of one bucket; with
-    ``across`` only pairs of different blocks."""
-    block, node, n, component, sketch = zip(*members, strict=True)
-    sketch, block, n, out = _rows(sketch), np.array(block), np.array(n, float), []
+def _block_links(key: int, across: bool, members: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Links that connect components among the members (block, node, n, component, sketch, text) of one bucket; with
+    ``across`` only links between blocks. Likely pairs are verified, the likeliest first, unless earlier ones connect them."""
+    block, node, n, component, sketch, text = zip(*members, strict=True)
+    sketch, block, n = _rows(sketch), np.array(block), np.array(n, float)
     _, component = np.unique(np.array(component, dtype="S16"), return_inverse=True)
     bands = sketch[:, : BANDS * BAND].reshape(len(node), BANDS, BAND)
     own_band = int(np.flatnonzero(_band_keys(sketch[:1])[0] == key)[0])
+    firsts, seconds = [], []
     for k in range(len(node) - 1):
         apart = component[k + 1 :] != component[k]
         if across:
             apart &= block[k + 1 :] != block[k]
         rest = np.flatnonzero(apart) + k + 1
         rest = rest[100 * np.minimum(n[rest], n[k]) >= THRESHOLD * np.maximum(n[rest], n[k])]
+        # An earlier band that the two share has the pair already.
+        rest = rest[~(bands[rest, :own_band] == bands[k, :own_band]).all(axis=2).any(axis=1)]
         if len(rest):
-            first = np.broadcast_to(sketch[k], (len(rest), REGISTERS))
-            rest = rest[likely(first, sketch[rest], np.full(len(rest), n[k]), n[rest])]
-            # An earlier band that the two share has the pair already.
-            rest = rest[(bands[rest] == bands[k]).all(axis=2).argmax(axis=1) == own_band]
-            out += [(node[k], node[r]) for r in rest]
+            rest = rest[likely(np.broadcast_to(sketch[k], (len(rest), REGISTERS)), sketch[rest], np.full(len(rest), n[k]), n[rest])]
+            firsts.append(np.full(len(rest), k))
+            seconds.append(rest)
+    if not firsts:
+        return []
+    first, second = np.concatenate(firsts), np.concatenate(seconds)
+    order = np.argsort(-np.concatenate([np.count_nonzero(sketch[s] == sketch[f[0]], axis=1) if len(f) else f for f, s in zip(firsts, seconds, strict=True)]), kind="stable")
+    label, sets, held, out = list(range(component.max() + 1)), {}, 0, []
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for a, b in zip(first[order].tolist(), second[order].tolist(), strict=True):
+        x, y = root(component[a]), root(component[b])
+        if x == y:
+            continue
+        for k in (a, b):
+            if k not in sets:
+                if held > SET_BYTES:
+                    sets, held = {}, 0
+                sets[k] = next(shingle_sets(pa.array([text[k]])))
+                held += sets[k].nbytes
+        own, other = (sets[k] if k in sets else next(shingle_sets(pa.array([text[k]]))) for k in (a, b))
+        if _linked(own, other):
+            label[x] = y
+            out.append((node[a], node[b]))
     return out
 
 
-def _apart(members: DataFrame, linked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs (hub, node) of members (key, node) of one bucket that ``linked`` (node, component) leaves apart.
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= THRESHOLD * (len(a) + len(b) - shared)
 
-    A bucket's members are dealt into blocks, and each pair of blocks is one group, so a group is of bounded size.
-    """
+
+def _apart(members: DataFrame, linked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among members (key, node) of one bucket that ``linked`` (node, component) leaves apart; as many as
+    connect them. A bucket's members are dealt into blocks, and each pair of blocks is one group, of bounded size."""
     own = nodes.select("node", "sketch", "n").join(linked, "node", "left")
     own = own.select("node", "n", F.coalesce("component", "node").alias("component"), "sketch")
     several = members.join(own.select("node", "component"), "node").groupBy("key").agg(
@@ -209,14 +244,15 @@ def _apart(members: DataFrame, linked: DataFrame, nodes: DataFrame) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, low, high), group in groups(batches, 3):
-            found = _block_pairs(key, low != high, group)
-            columns = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["hub", "node"])
+            found = _block_links(key, low != high, group)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    dealt = rows.join(own, "node").select("key", "low", "high", "block", "node", "n", "component", "sketch").repartition(
+    dealt = rows.join(own.join(texts, "node"), "node")
+    dealt = dealt.select("key", "low", "high", "block", "node", "n", "component", "sketch", "text").repartition(
         shuffle_partitions(rows.sparkSession), "key", "low", "high"
     )
-    return dealt.sortWithinPartitions("key", "low", "high").mapInArrow(run, "hub binary, node binary")
+    return dealt.sortWithinPartitions("key", "low", "high").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -248,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     own_text = cut(own_text.mapInArrow(_matching, "node binary, text string"))
     links = cut(_verified(_likely_pairs(star, nodes), own_text))
     linked = components(links)
-    further = cut(_verified(_apart(members, linked, nodes), own_text))
+    further = cut(_apart(members, linked, nodes, own_text))
     if not further.isEmpty():
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
 
