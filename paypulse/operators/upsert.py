@@ -18,7 +18,7 @@ def _no_key(keys: list[str]) -> Column:
 def latest_by_key(
     rows: DataFrame, keys: str | list[str], order_col: str = "load_time", seq_col: str | None = None
 ) -> DataFrame:
-    """The row with the highest ``order_col`` per key; on a tie the lowest ``seq_col``.
+    """The row with the highest ``order_col`` per key; on a tie the highest ``seq_col``.
 
     Rows with a NULL key never equal another row, so each of them is kept. They
     bypass the shuffle: all would hash to one partition.
@@ -30,12 +30,24 @@ def latest_by_key(
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [F.col(order_col).desc_nulls_last()]
     if seq_col:
-        order.append(F.col(seq_col).asc_nulls_last())
+        order.append(F.col(seq_col).desc_nulls_last())
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     keyed = rows.where(_has_key(keys)).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     return keyed.unionByName(rows.where(_no_key(keys)))
 
 
+def is_newer(
+    source: str, target: str, order_col: str = "load_time", seq_col: str | None = None
+) -> Column:
+    """Whether the row of alias ``source`` is newer than that of ``target``; unknown is not."""
+    newer = F.col(f"{source}.{order_col}") > F.col(f"{target}.{order_col}")
+    if seq_col:
+        newer |= (F.col(f"{source}.{order_col}") == F.col(f"{target}.{order_col}")) & (
+            F.col(f"{source}.{seq_col}") > F.col(f"{target}.{seq_col}")
+        )
+    return F.coalesce(newer, F.lit(False))
+
+
 def distinct_keys(rows: DataFrame, keys: str | list[str]) -> DataFrame:
     """The keys of ``latest_by_key``, one row each, without picking the rows: for counting.
 
@@ -56,6 +68,8 @@ def upsert_latest(
     """``target`` after merging ``source``: a strictly newer source row replaces the
     target row of its key, an unmatched one is added, everything else stays.
 
+    Where the target has ``seq_col`` too, a row with an equal ``order_col`` and a higher
+    ``seq_col`` is newer; then the result doesn't depend on how rows were cut into batches.
     The source is reduced to one row per key first. A NULL ``order_col`` on either
     side compares as unknown, so the target row stays. Rows with a NULL key match
     nothing and are carried over from both sides without being shuffled.
@@ -68,10 +82,8 @@ def upsert_latest(
     t = target.where(_has_key(keys)).withColumn("_in_target", F.lit(True)).alias("t")
     s = fresh.where(_has_key(keys)).withColumn("_in_source", F.lit(True)).alias("s")
     same_key = reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys])
-    take_source = F.col("_in_target").isNull() | (
-        F.col("_in_source").isNotNull()
-        & F.coalesce(F.col(f"s.{order_col}") > F.col(f"t.{order_col}"), F.lit(False))
-    )
+    newer = is_newer("s", "t", order_col, seq_col if seq_col in columns else None)
+    take_source = F.col("_in_target").isNull() | (F.col("_in_source").isNotNull() & newer)
     merged = t.join(s, same_key, "full_outer").select(
         *[F.when(take_source, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns]
     )
@@ -79,22 +91,3 @@ def upsert_latest(
         merged.unionByName(target.where(_no_key(keys)))
         .unionByName(fresh.where(_no_key(keys)))
     )
-
-
-def merge_into_table(
-    source: DataFrame, table: str, keys: str | list[str], order_col: str = "load_time",
-    seq_col: str | None = None,
-) -> None:
-    """The same upsert as ``MERGE INTO``, for catalogs whose tables support it."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    columns = source.sparkSession.table(table).columns
-    fresh = latest_by_key(source, keys, order_col, seq_col).select(*columns).alias("s")
-    on = reduce(lambda a, b: a & b, [F.expr(f"{table}.{k} = s.{k}") for k in keys])
-    values = {c: F.col(f"s.{c}") for c in columns}
-    (
-        fresh.mergeInto(table, on)
-        .whenMatched(F.expr(f"s.{order_col} > {table}.{order_col}"))
-        .update({c: v for c, v in values.items() if c not in keys})
-        .whenNotMatched().insert(values)
-        .merge()
-    )

@@ -14,7 +14,8 @@ from paypulse.functions.variant import iso_utc
 from paypulse.schemas import FAILED, ORDERS, PAID, PAYMENTS
 
 LOG_PARTITIONS = 3
-SEQ_BASE = 1_000_000
+#: Above every supplier key up to scale factor 100,000.
+SEQ_BASE = 1_000_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, streaming: bool = False) -> DataFrame:

@@ -41,8 +41,10 @@ class PaymentMonitor:
 
     @property
     def log(self) -> DataFrame:
-        """topic, partition, offset of everything landed."""
-        return health.raw_log(self.raw_orders.unionByName(self.raw_payments))
+        """topic, partition, offset of every record taken from the topics, landed or rejected."""
+        landed = health.raw_log(self.raw_orders.unionByName(self.raw_payments))
+        rejected = scan(self.spark, self.root, "raw", "quarantine")
+        return landed.unionByName(rejected.select(*landed.columns))
 
     @property
     def committed(self) -> DataFrame:

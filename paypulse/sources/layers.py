@@ -3,6 +3,9 @@
 RAW tables are append-only Parquet folders. A CURATED table is a log of batches that
 hold the rows which won their key, so the latest change of a key always replaces its
 snapshot row: reading is an anti join of the snapshot with the changed keys.
+
+A batch writes orders, payments, metrics and last its commits. Readers and compaction stop
+at the last batch that has committed, so they never see a part of one.
 """
 
 from __future__ import annotations
@@ -14,6 +17,10 @@ from paypulse.schemas import COMMITTED, MINUTES, QUARANTINE, RAW, TABLES, EventT
 from paypulse.sources import batchlog
 
 
+#: Columns of a replaced row that a change keeps.
+BEFORE = ("order_id", "event_ts", "load_time")
+
+
 def layer_path(root: str, layer: str, table: str) -> str:
     return f"{root.rstrip('/')}/{layer}/{table}"
 
@@ -27,9 +34,14 @@ def offsets_path(root: str) -> str:
 
 
 def change_schema(table: EventTable) -> T.StructType:
-    """A change: the new row, its sequence number, and the row it replaced if any."""
-    out = T.StructType(list(table.schema.fields))
-    return out.add("seq", T.LongType()).add("before", table.schema)
+    """A change: the new row, its sequence number, and what metrics need of the row it replaced."""
+    before = T.StructType([f for f in table.schema.fields if f.name in BEFORE])
+    return stored_schema(table).add("before", before)
+
+
+def stored_schema(table: EventTable) -> T.StructType:
+    """A row of a snapshot: the typed columns and the offset that decides between equal load times."""
+    return T.StructType(list(table.schema.fields)).add("seq", T.LongType())
 
 
 def minutes_schema(stored: str) -> T.StructType:
@@ -83,41 +95,54 @@ def new_rows(spark: SparkSession, root: str, table: EventTable, **options: str)
     return spark.readStream.schema(RAW).options(**options).parquet(path).select(*RAW.names)
 
 
+def committed_batch(spark: SparkSession, root: str) -> int:
+    """The last batch whose commits, which are written last, are there; -1 without any."""
+    after, _ = batchlog.snapshot_of(spark, offsets_path(root))
+    last = batchlog.last_batch(spark, offsets_path(root), COMMITTED)
+    return after if last is None else last
+
+
 def read_curated(
     spark: SparkSession, root: str, table: EventTable, upto_batch: int | None = None
 ) -> DataFrame:
-    """The typed table with one row per key, as of ``upto_batch`` or as of now.
+    """The typed table with one row per key, as of ``upto_batch`` or of the last committed batch."""
+    upto = committed_batch(spark, root) if upto_batch is None else upto_batch
+    return read_versions(spark, root, table, upto).select(*table.schema.names)
+
+
+def read_versions(spark: SparkSession, root: str, table: EventTable, upto_batch: int) -> DataFrame:
+    """The rows of ``read_curated`` with their ``seq``, as of a batch.
 
     Between compactions the changed keys are few, so Catalyst broadcasts them by
     their file sizes and streams the snapshot past them unshuffled; if they have
     grown beyond its threshold it joins by shuffling both sides instead. A single
     batch, such as a first load, holds each key once and needs no deduplication.
     """
-    path, columns = curated_path(root, table), table.schema.names
+    path, columns = curated_path(root, table), stored_schema(table).names
     after, folder = batchlog.snapshot_of(spark, path)
     changed = batchlog.read_batches(spark, path, change_schema(table), after, upto_batch)
-    if upto_batch is None or upto_batch - after > 1:
+    if upto_batch - after > 1:
         changed = latest_by_key(changed.select(*columns, "batch_id"), table.key, "batch_id")
     changed = changed.select(*columns)
     if folder is None:
         return changed
-    kept = spark.read.schema(table.schema).parquet(folder).join(
+    kept = spark.read.schema(stored_schema(table)).parquet(folder).join(
         changed.select(table.key), table.key, "left_anti"
     )
     return kept.select(*columns).unionByName(changed)
 
 
 def compact_curated(spark: SparkSession, root: str, table: EventTable) -> int | None:
-    """Fold all changes into a new snapshot; returns its last batch, ``None`` if nothing is new.
+    """Fold all committed changes into a new snapshot; returns its last batch, ``None`` if nothing is new.
 
     The snapshot is range-partitioned and sorted by event time, so file statistics
     let time-window queries skip most of it; key and load time in the range split an
     event time that very many rows share.
     """
     path = curated_path(root, table)
-    last = batchlog.last_batch(spark, path, change_schema(table))
+    last = batchlog.last_batch(spark, path, change_schema(table), committed_batch(spark, root))
     if last is not None:
-        rows = read_curated(spark, root, table, last)
+        rows = read_versions(spark, root, table, last)
         order = ("event_ts", table.key, "load_time")
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         batchlog.publish_snapshot(spark, rows, path, last)
@@ -145,10 +170,10 @@ def compact_offsets(spark: SparkSession, root: str) -> int | None:
 
 
 def read_minutes(spark: SparkSession, root: str, stored: str) -> DataFrame:
-    """Stored per-minute values: for each minute those of the last batch that wrote it."""
+    """Stored per-minute values: for each minute those of the last committed batch that wrote it."""
     path, names = layer_path(root, "analytics", stored), MINUTES[stored].names
     after, folder = batchlog.snapshot_of(spark, path)
-    log = batchlog.read_batches(spark, path, minutes_schema(stored), after)
+    log = batchlog.read_batches(spark, path, minutes_schema(stored), after, committed_batch(spark, root))
     if folder is not None:
         folded = spark.read.schema(MINUTES[stored]).parquet(folder).select(
             "*", F.lit(True).alias("present"), F.lit(after).cast("bigint").alias("batch_id")
@@ -163,7 +188,7 @@ def read_minutes(spark: SparkSession, root: str, stored: str) -> DataFrame:
 def compact_minutes(spark: SparkSession, root: str, stored: str) -> int | None:
     """Fold the batches of a stored metric into a new snapshot."""
     path = layer_path(root, "analytics", stored)
-    last = batchlog.last_batch(spark, path, minutes_schema(stored))
+    last = batchlog.last_batch(spark, path, minutes_schema(stored), committed_batch(spark, root))
     if last is not None:
         batchlog.publish_snapshot(spark, read_minutes(spark, root, stored), path, last)
     return last
@@ -172,17 +197,16 @@ def compact_minutes(spark: SparkSession, root: str, stored: str) -> int | None:
 def compact_all(spark: SparkSession, root: str, *, remove: bool = False) -> None:
     """Compact every table; with ``remove`` also delete what the snapshots have replaced.
 
-    Run it between promotion batches: offsets and metrics are folded up to the batch
-    that was last when the call began.
+    Run it between promotion batches: everything is folded up to the last committed batch.
     """
     paths = [offsets_path(root)]
-    compact_offsets(spark, root)
     for table in TABLES.values():
         compact_curated(spark, root, table)
         paths.append(curated_path(root, table))
     for stored in MINUTES:
         compact_minutes(spark, root, stored)
         paths.append(layer_path(root, "analytics", stored))
+    compact_offsets(spark, root)
     if remove:
         for path in paths:
             batchlog.remove_folded(spark, path)

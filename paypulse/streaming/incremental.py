@@ -8,6 +8,8 @@ metric is a log: per minute the last batch that wrote it counts.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paypulse.functions.time import bucket_start
@@ -18,6 +20,9 @@ from paypulse.sources.layers import (
     change_schema, curated_path, layer_path, read_curated, read_minutes,
 )
 
+#: Ranges of days in a filter.
+MAX_RANGES = 100
+
 # The metrics and the stored columns they consist of.
 METRICS = {
     "revenue_per_minute": ("payment_minutes", ("revenue",)),
@@ -39,21 +44,18 @@ def _touched_minutes(changes: DataFrame) -> DataFrame:
 def _in_minutes(rows: DataFrame, minutes: DataFrame) -> DataFrame:
     """The rows whose minute is among ``minutes``, a cached frame.
 
-    The span of the minutes, one row, goes into a filter on the time column, so the
-    scan skips files outside it; the join then picks the minutes themselves. Taking
-    the span fills the cache, so Catalyst knows the true size of the join's small
-    side when it decides whether to broadcast it.
+    The days of the minutes go into a filter on the time column, as ranges, so the scan
+    skips what lies outside them and a single late event costs its own day; the join then
+    picks the minutes themselves. Very many separate days are filtered by ``MAX_RANGES``
+    wider ranges. Taking the days fills the cache, so Catalyst knows the true size of the
+    join's small side when it decides whether to broadcast it.
     """
-    span = minutes.agg(
-        F.min("minute").alias("first"),
-        F.max("minute").alias("last"),
-        F.bool_or(F.col("minute").isNull()).alias("null_minute"),
-    ).select(F.col("first").cast("string"), F.col("last").cast("string"), "null_minute").first()
+    days = sorted({r.day for r in minutes.select(F.to_date("minute").alias("day")).distinct().collect()}, key=str)
     ts = F.col("event_ts")
-    keep = F.lit(False) if not span.null_minute else ts.isNull()
-    if span.first is not None:
-        after = F.timestamp_add("MINUTE", F.lit(1), F.lit(span.last).cast("timestamp_ntz"))
-        keep = keep | ((ts >= F.lit(span.first).cast("timestamp_ntz")) & (ts < after))
+    keep = ts.isNull() if None in days else F.lit(False)
+    for first, last in _ranges([d for d in days if d is not None]):
+        after = F.lit(str(last + timedelta(days=1))).cast("timestamp_ntz")
+        keep = keep | ((ts >= F.lit(str(first)).cast("timestamp_ntz")) & (ts < after))
     wanted = minutes.select(F.col("minute").alias("_wanted"))
     return (
         rows.where(keep)
@@ -63,6 +65,15 @@ def _in_minutes(rows: DataFrame, minutes: DataFrame) -> DataFrame:
     )
 
 
+def _ranges(days: list[date]) -> list[tuple[date, date]]:
+    """Sorted days as (first, last) of runs without gaps; the smallest gaps close where there are too many."""
+    if not days:
+        return []
+    gaps = sorted(((b - a).days, k) for k, (a, b) in enumerate(zip(days, days[1:])))
+    cuts = sorted(k for gap, k in gaps[-(MAX_RANGES - 1):] if gap > 1)
+    return list(zip([days[0], *(days[k + 1] for k in cuts)], [*(days[k] for k in cuts), days[-1]]))
+
+
 def _store(values: DataFrame, minutes: DataFrame, root: str, stored: str, batch_id: int) -> None:
     """Store the new values of ``minutes``; a minute without rows is stored as gone."""
     names = MINUTES[stored].names[1:]

@@ -9,24 +9,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paypulse.operators.health import group_commits
 from paypulse.operators.unpack import unpack
-from paypulse.operators.upsert import latest_by_key
+from paypulse.operators.upsert import is_newer, latest_by_key
 from paypulse.schemas import ORDERS, PAYMENTS, EventTable
 from paypulse.sources import batchlog
 from paypulse.sources.layers import (
-    compact_all, curated_path, layer_path, new_rows, offsets_path, read_curated,
+    BEFORE, compact_all, curated_path, layer_path, new_rows, offsets_path, read_versions,
 )
 from paypulse.streaming.incremental import update_metrics
 
 # Fixed value: period of the promotion.
 PROMOTE_TRIGGER = {"processingTime": "1 minute"}
 PROMOTE_GROUP = "promote"
+#: Batches between compactions.
+COMPACT_EVERY = 60
 
 
 def promote_batch(spark: SparkSession, new: DataFrame, root: str, table: EventTable, batch_id: int) -> None:
-    """Merge new typed rows into the CURATED table: latest load time wins, ties keep the old row.
+    """Merge new typed rows into the CURATED table: latest load time wins, at the same time the highest offset.
 
-    Only the current rows of the batch's keys take part in the comparison; they are
-    found by a semi join whose small side is the batch. The batch is counted first:
+    Only the current rows of the batch's keys take part in the comparison, and only the
+    columns that decide it or that metrics need; they are found by a semi join whose small
+    side is the batch. The batch is counted first:
     that fills its cache, so Catalyst decides on its true size whether to broadcast it.
     Rows without a key match nothing; they are added without being joined.
     """
@@ -40,14 +43,17 @@ def promote_batch(spark: SparkSession, new: DataFrame, root: str, table: EventTa
         if rows.count() == 0:
             return
         keyed = rows.where(F.col(table.key).isNotNull())
-        current = read_curated(spark, root, table, batch_id - 1).join(
+        current = read_versions(spark, root, table, batch_id - 1).join(
             keyed.select(table.key), table.key, "left_semi"
         )
-        before = current.select(F.col(table.key).alias("_key"), F.struct(*columns).alias("before"))
+        kept = [c for c in columns if c in BEFORE]
+        before = current.select(
+            F.col(table.key).alias("_key"), "load_time", "seq", F.struct(*kept).alias("before")
+        )
         winners = (
-            keyed.join(before, F.col(table.key) == F.col("_key"), "left")
-            .where(F.col("_key").isNull() | (F.col("load_time") > F.col("before.load_time")))
-            .select(*columns, "seq", "before")
+            keyed.alias("s").join(before.alias("t"), F.col(f"s.{table.key}") == F.col("_key"), "left")
+            .where(F.col("_key").isNull() | is_newer("s", "t", "load_time", "seq"))
+            .select("s.*", "before")
         )
         keyless = rows.where(F.col(table.key).isNull())
         batchlog.write_batch(
@@ -68,7 +74,7 @@ def start_promote(
     trigger: Mapping[str, object] = PROMOTE_TRIGGER,
     *,
     with_metrics: bool = True,
-    compact_every: int | None = None,
+    compact_every: int | None = COMPACT_EVERY,
     **source_options: str,
 ) -> StreamingQuery:
     """Promote new RAW rows: orders first, then payments, then the metrics they touch.
@@ -76,7 +82,8 @@ def start_promote(
     Both tables share one query, hence one batch number. Every step of a batch
     overwrites its own output folder, so a batch run again after a failure leaves
     the same result. Keep the checkpoint with the tables: batch numbers come from it.
-    ``compact_every`` folds the batch folders into snapshots after that many batches.
+    ``compact_every`` folds the batch folders into snapshots after that many batches, an hour's
+    by default; ``None`` leaves that to the caller.
     """
     feeds = [
         unpack(

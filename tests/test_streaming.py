@@ -3,6 +3,7 @@
 import json
 import random
 import uuid
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from paypulse.sources.layers import (
     read_curated, register_layers, scan,
 )
 from paypulse.sources.topics import read_topics
-from paypulse.streaming.incremental import read_metric, update_metrics
+from paypulse.streaming.incremental import _ranges, read_metric, update_metrics
 from paypulse.streaming.ingest import start_ingest
 from paypulse.streaming.promote import promote_batch, start_promote
 from paypulse.streaming.tumbling import tumbling_metrics
@@ -80,7 +81,7 @@ def assert_consistent(spark, root, records):
         metrics.order_conversion(orders, payments))
 
 
-@pytest.mark.parametrize("seed", [1])
+@pytest.mark.parametrize("seed", range(1, 6))
 def test_promotion_in_batches_with_compaction_and_replay(spark, tmp_path, seed):
     root = str(tmp_path)
     register_layers(spark, root)
@@ -164,11 +165,62 @@ def test_ingest_lands_each_record_once(spark, tmp_path):
     assert rows_of(quarantine.select("topic", "offset", "reason")) == sorted([
         ("orders", 1, "malformed"), ("payments", 1, "empty"), ("payments", 2, "not_object"),
     ], key=repr)
+    # End offsets count rejected records too.
+    monitor = PaymentMonitor(spark, root)
+    assert rows_of(monitor.end_offsets("payments")) == [("payments", 0, 4)]
+    assert rows_of(monitor.end_offsets("orders")) == [("orders", 0, 2)]
+    assert monitor.total_lag("orders", "nobody").first().lag == 2
+    assert monitor.ingest_throughput(60).first().orders_5min == 1
     # The promotion reads what the ingest committed.
     start_promote(spark, root, ONCE).awaitTermination()
     assert {r.payment_id for r in read_curated(spark, root, PAYMENTS).collect()} == {"p", "q"}
 
 
+def test_the_highest_offset_wins_within_and_across_batches(spark, tmp_path):
+    root = str(tmp_path)
+    register_layers(spark, root)
+
+    def paid(offset, status):
+        body = {"payment_id": "p", "order_id": "o", "status": status, "amount": 1.0, "event_ts": minute(offset)}
+        return ("p", json.dumps(body), "payments", 0, offset, at("12:00"))
+
+    def status():
+        start_promote(spark, root, ONCE).awaitTermination()
+        return [r.status for r in read_curated(spark, root, PAYMENTS).collect()]
+
+    land(spark, root, [paid(0, "FAILED"), paid(1, "PAID")])
+    assert status() == ["PAID"]
+    land(spark, root, [paid(2, "FAILED")])
+    assert status() == ["FAILED"]
+    compact_all(spark, root)
+    land(spark, root, [paid(4, "PAID"), paid(3, "FAILED")])
+    assert status() == ["PAID"]
+    assert rows_of(read_metric(spark, root, "payment_failure_rate")) == [(at("10:04"), 1, 0, 0.0)]
+
+
+def test_readers_and_compaction_stop_at_the_last_committed_batch(spark, tmp_path):
+    root = str(tmp_path)
+    register_layers(spark, root)
+    land(spark, root, history(5, 30))
+    start_promote(spark, root, ONCE).awaitTermination()
+    before = rows_of(read_curated(spark, root, PAYMENTS))
+    typed = unpack(scan(spark, root, "raw", "payments_events"), PAYMENTS, with_position=True)
+    later = typed.withColumn("load_time", F.lit("2030-01-01").cast("timestamp_ntz")).withColumn("amount", F.lit(9.0))
+    promote_batch(spark, later, root, PAYMENTS, 1)  # and no commit
+    assert rows_of(read_curated(spark, root, PAYMENTS)) == before
+    assert compact_curated(spark, root, PAYMENTS) == 0
+    assert rows_of(read_curated(spark, root, PAYMENTS)) == before
+    assert rows_of(read_curated(spark, root, PAYMENTS, 1)) != before
+
+
+def test_days_are_filtered_as_ranges():
+    days = [date(2024, 1, d) for d in (1, 2, 3, 9)] + [date(2025, 1, 1)]
+    assert _ranges(days) == [(days[0], days[2]), (days[3], days[3]), (days[4], days[4])]
+    many = [date(2000, 1, 1) + timedelta(days=k * k) for k in range(300)]
+    ranges = _ranges(many)
+    assert len(ranges) == 100 and ranges[0][0] == many[0] and ranges[-1][1] == many[-1] and _ranges([]) == []
+
+
 def test_change_feed_gives_each_row_once(spark, tmp_path):
     root = str(tmp_path)
     register_layers(spark, root)
