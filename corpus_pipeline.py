@@ -16,7 +16,7 @@ from paypulse.llm.mixing import take_mix
 from paypulse.llm.near_dedup import drop_near_duplicates
 from paypulse.llm.packing import pack
 from paypulse.llm.queries import tokenizer_path
-from paypulse.llm.shared import read
+from paypulse.llm.shared import read, ship_package
 from paypulse.llm.toxicity import drop_toxic
 from paypulse.session import shared_dir
 
@@ -27,10 +27,12 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return drop_exact_duplicates(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return drop_near_duplicates(docs)
 
 
@@ -40,6 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

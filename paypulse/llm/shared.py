@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+import io
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -11,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+import paypulse
 from paypulse.session import shared_dir
 
 #: The white space of all contracts, as a character class of Java, RE2 and Python alike.
@@ -30,7 +34,25 @@ _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors' Python workers, once an application."""
+    context, name = spark.sparkContext, f"{paypulse.__name__}.zip"
+    if any(f.endswith(f"/{name}") for f in context.listFiles):
+        return
+    root, packed = Path(paypulse.__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    path = f"{shared_dir(spark, 'package')}/{name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -88,3 +88,11 @@ def test_pipeline_stages_with_edges(spark, make_docs, edge_rows):
             assert out.columns == frame.columns
             assert out.count() <= 3 * frame.count()
         assert corpus_pipeline.STAGES[-1][1](spark, frame, SF_DIR).count() >= frame.count()
+
+
+def test_package_is_sent_once(spark):
+    from paypulse.llm.shared import ship_package
+
+    ship_package(spark)
+    ship_package(spark)
+    assert len([f for f in spark.sparkContext.listFiles if f.endswith("/paypulse.zip")]) == 1
