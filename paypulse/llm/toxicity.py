@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: At most so many labelled rows are used for training, those with the smallest hashes of their ids, and of them the first
 #: ones whose texts have so many characters together. Every ``CALIBRATE``-th of them only fits the final curve.
-SAMPLE_ROWS, SAMPLE_CHARS, CALIBRATE = 5000, 50_000_000, 5
+SAMPLE_ROWS, SAMPLE_CHARS, CALIBRATE = 5000, 20_000_000, 5
 #: Words of fewer sampled texts are left out of the training.
 WORD_TEXTS = 2
 #: Words of a window, and how many neutral words are added to its distinct ones.
@@ -70,18 +70,23 @@ class _Means(NamedTuple):
 
     @classmethod
     def of(cls, rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> _Means:
+        rows, columns = rows.astype(np.int32), columns.astype(np.int32)
         starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        order = np.argsort(columns, kind="stable")
+        order = np.argsort(columns, kind="stable").astype(np.int32)
         back = columns[order]
         back_starts = np.flatnonzero(np.append(True, back[1:] != back[:-1]))
         return cls(columns, starts, values[:, None], order, rows[order], back_starts, back[back_starts])
 
     def forward(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x[self.columns] * self.values, self.starts)
+        entries = x[self.columns]
+        entries *= self.values
+        return np.add.reduceat(entries, self.starts)
 
     def backward(self, grad: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, grad.shape[1]), grad.dtype)
-        out[self.back_columns] = np.add.reduceat(grad[self.back_rows] * self.values[self.order], self.back_starts)
+        entries = grad[self.back_rows]
+        entries *= self.values[self.order]
+        out[self.back_columns] = np.add.reduceat(entries, self.back_starts)
         return out
 
 
@@ -93,18 +98,19 @@ def _fit_vectors(texts: list[str], labels: np.ndarray, epochs: int) -> np.ndarra
         words = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text) if spread[w] >= WORD_TEXTS]
         for at in range(0, len(words), WINDOW):
             window = np.unique(words[at : at + WINDOW])
-            rows.append(np.full(len(window), len(y)))
-            columns.append(window)
-            values.append(np.full(len(window), 1 / (len(window) + NEUTRAL)))
+            rows.append(np.full(len(window), len(y), np.int32))
+            columns.append(window.astype(np.int32))
+            values.append(np.full(len(window), 1 / (len(window) + NEUTRAL), np.float32))
             y.append(label)
     weights = np.zeros(BUCKETS, np.float32)
     if not y:
         return weights
     y = np.array(y, np.float32)
-    windows = _Means.of(np.concatenate(rows), np.concatenate(columns), np.concatenate(values).astype(np.float32))
-    grams = [buckets(w) for w in vocabulary]
+    windows = _Means.of(np.concatenate(rows), np.concatenate(columns), np.concatenate(values))
+    del rows, columns, values, spread
+    grams = [np.array(buckets(w), np.int32) for w in vocabulary]
     sizes = np.array([len(g) for g in grams])
-    used, ids = np.unique(np.concatenate([np.array(g) for g in grams]), return_inverse=True)
+    used, ids = np.unique(np.concatenate(grams), return_inverse=True)
     words = _Means.of(np.repeat(np.arange(len(grams)), sizes), ids, np.repeat(1 / sizes, sizes).astype(np.float32))
     rng = np.random.default_rng(5)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
