@@ -20,7 +20,7 @@ from paypulse.session import shared_dir
 #: The white space of all contracts, as a character class of Java, RE2 and Python alike.
 SPACE = r"\x20\x09-\x0D"
 #: Texts are hashed in pieces of about so many bytes, which bounds the memory of a task.
-PIECE_BYTES = 4 * 1024 * 1024
+PIECE_BYTES = 2 * 1024 * 1024
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _SPACES = np.zeros(256, dtype=bool)

@@ -31,9 +31,9 @@ from paypulse.llm.shared import groups, mix, rolling, shuffle_partitions, word_p
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
 #: A task packs lists of about so many hashes at a time.
-LIST_HASHES = 1 << 21
+LIST_HASHES = 1 << 20
 #: A shard gets about so many hashes at most, and a row of a task's own findings holds so many.
-SHARD_HASHES, LOCAL_HASHES = 1 << 22, 1 << 16
+SHARD_HASHES, LOCAL_HASHES = 1 << 20, 1 << 16
 #: In the first step a block may by chance equal a run that has other words, one in 2 to this power; the second is exact.
 SPARE_BITS = 9
 #: Bytes of a window's hash that find it in its own document again.
