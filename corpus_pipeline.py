@@ -20,6 +20,9 @@ from paypulse.llm.shared import read, ship_package
 from paypulse.llm.toxicity import drop_toxic
 from paypulse.session import shared_dir
 
+#: Similarity from which on the near_dedup stage drops copies, in hundredths; op5_near_dedup has 85.
+NEAR = 80
+
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among ``docs``, doesn't reject."""
@@ -32,8 +35,9 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose 5-word shingles have a similarity of ``NEAR`` hundredths or more with no earlier one's."""
     ship_package(spark)
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

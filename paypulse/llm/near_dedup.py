@@ -4,7 +4,7 @@ A document is the set of its 5-word shingles. Register i of its sketch keeps the
 values h_i in steps that grow by the factor ``BASE``, cut to 16 bits: floor(1 - log_BASE(min h_i)). Registers are mergeable
 and equal in two sets with about the probability of their Jaccard similarity J. Bands of registers deal similar sets
 into buckets; the numbers of larger, smaller and equal registers and the set sizes give the likelihood of J, and pairs for
-which ``THRESHOLD`` isn't too unlikely are verified on their texts.
+which the threshold isn't too unlikely are verified on their texts.
 
 Equal sets count as one. A bucket is not paired out: its members are first compared with its hub, the member that shares
 most with others, and what then hangs together needs no more comparisons. Only members that are still apart are compared
@@ -15,6 +15,7 @@ so no more links leave it than connect its members.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,11 @@ from paypulse.llm.components import components
 from paypulse.llm.shared import cut, groups, rolling, shuffle_partitions, word_pieces
 
 SHINGLE = 5
-#: In hundredths: links have 100 * intersection >= THRESHOLD * union.
+#: Unless another threshold is given. In hundredths: links have 100 * intersection >= threshold * union.
 THRESHOLD = 85
-#: A pair at the threshold shares no band once in 13,000 times: (1 - 0.85 ** 6) ** 20.
-REGISTERS, BANDS, BAND = 240, 20, 6
+REGISTERS = 240
+#: A pair at the threshold shares no band with this probability at most; bands and registers of a band, at most.
+MISSED, MOST_BANDS, WIDEST = 8e-5, 24, 9
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: A pair is verified unless its best similarity is e to this power times likelier than the threshold.
 DOUBT = 7.0
@@ -40,7 +42,19 @@ NO_ID = 2**63 - 1
 
 _RNG = np.random.default_rng(85)
 _A, _B = (_RNG.integers(0, 2**31, REGISTERS).astype(np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
-_MIX = _RNG.integers(0, 2**62, (BANDS, BAND + 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RNG.integers(0, 2**62, (MOST_BANDS, WIDEST + 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_shape(threshold: int) -> tuple[int, int]:
+    """Bands and registers of a band, as many as possible, so that a pair at the threshold is missed once in 12,500 times
+    at most: (1 - (threshold / 100) ** width) ** bands. 20 bands of 6 at 85, 24 of 5 at 80."""
+    if not 50 <= threshold <= 99:
+        raise ValueError(f"threshold has to be 50 to 99 hundredths, not {threshold}")
+    for width in range(WIDEST, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log(1 - (threshold / 100) ** width))
+        if bands <= MOST_BANDS:
+            break
+    return bands, width
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -82,9 +96,15 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _band_keys(sketches: np.ndarray) -> np.ndarray:
-    used = sketches[:, : BANDS * BAND].reshape(-1, BANDS, BAND).astype(np.uint64)
-    keys = (used * _MIX[:, :BAND]).sum(axis=2, dtype=np.uint64) ^ _MIX[:, BAND]
+def _band_registers(sketches: np.ndarray, threshold: int) -> np.ndarray:
+    bands, width = band_shape(threshold)
+    return sketches[:, : bands * width].reshape(-1, bands, width)
+
+
+def _band_keys(sketches: np.ndarray, threshold: int) -> np.ndarray:
+    used = _band_registers(sketches, threshold).astype(np.uint64)
+    bands, width = used.shape[1:]
+    keys = (used * _MIX[:bands, :width]).sum(axis=2, dtype=np.uint64) ^ _MIX[:bands, WIDEST]
     return ((keys ^ (keys >> np.uint64(31))) * _MIX[0, 0]).view(np.int64)
 
 
@@ -92,19 +112,24 @@ def _rows(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), "<u2").reshape(-1, REGISTERS)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = _band_keys(_rows(batch.column(1).to_pylist()))
-        nodes = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), BANDS)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), nodes], ["key", "node"])
+def _bands(nodes: DataFrame, threshold: int) -> DataFrame:
+    """(key, node) for each band of the sketches of ``nodes`` (node, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _band_keys(_rows(batch.column(1).to_pylist()), threshold)
+            own = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), keys.shape[1])))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), own], ["key", "node"])
+
+    return nodes.mapInArrow(run, "key long, node binary")
 
 
-def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """For pairs of sketches (rows of ``a`` and ``b``) and set sizes: whether ``THRESHOLD`` isn't too unlikely."""
+def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """For pairs of sketches (rows of ``a`` and ``b``) and set sizes: whether the threshold isn't too unlikely."""
     total = n_a + n_b
     u, v = n_a / total, n_b / total
     largest = np.minimum(u / v, v / u)
-    least = THRESHOLD / 100
+    least = threshold / 100
     out = largest >= least - 1e-12
     equal = np.count_nonzero(a == b, axis=1)
     out &= equal >= REGISTERS * least - 5 * np.sqrt(REGISTERS * least * (1 - least))
@@ -129,13 +154,14 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np
     return out
 
 
-def _likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _likely_pairs(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """The pairs (hub, node) whose sketches make a link likely."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (_rows(batch.column(k).to_pylist()) for k in (2, 4))
-            keep = likely(a, b, batch.column(3).to_numpy().astype(float), batch.column(5).to_numpy().astype(float))
+            sizes = (batch.column(k).to_numpy().astype(float) for k in (3, 5))
+            keep = likely(a, b, *sizes, threshold)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["hub", "node"])
 
     own = nodes.select("node", "sketch", "n")
@@ -144,7 +170,7 @@ def _likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return columns.mapInArrow(run, "hub binary, node binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """The pairs (hub, node) that are links, as (a, b); ``texts``: (node, text). A hub's text is sent once for each
     ``GROUP`` of its nodes, and read as one stream with theirs."""
     pairs = cut(pairs)
@@ -165,7 +191,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if not second:
                     group, first = (hub, part), shingles
                 elif group == (hub, part):
-                    if _linked(first, shingles):
+                    if _linked(first, shingles, threshold):
                         found.append((hub, node))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"]
@@ -175,25 +201,26 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("hub", "part", "second").mapInArrow(run, "a binary, b binary")
 
 
-def _block_links(key: int, across: bool, members: list[tuple]) -> list[tuple[bytes, bytes]]:
+def _block_links(key: int, across: bool, members: list[tuple], threshold: int) -> list[tuple[bytes, bytes]]:
     """Links that connect components among the members (block, node, n, component, sketch, text) of one bucket; with
     ``across`` only links between blocks. Likely pairs are verified, the likeliest first, unless earlier ones connect them."""
     block, node, n, component, sketch, text = zip(*members, strict=True)
     sketch, block, n = _rows(sketch), np.array(block), np.array(n, float)
     _, component = np.unique(np.array(component, dtype="S16"), return_inverse=True)
-    bands = sketch[:, : BANDS * BAND].reshape(len(node), BANDS, BAND)
-    own_band = int(np.flatnonzero(_band_keys(sketch[:1])[0] == key)[0])
+    bands = _band_registers(sketch, threshold)
+    own_band = int(np.flatnonzero(_band_keys(sketch[:1], threshold)[0] == key)[0])
     firsts, seconds = [], []
     for k in range(len(node) - 1):
         apart = component[k + 1 :] != component[k]
         if across:
             apart &= block[k + 1 :] != block[k]
         rest = np.flatnonzero(apart) + k + 1
-        rest = rest[100 * np.minimum(n[rest], n[k]) >= THRESHOLD * np.maximum(n[rest], n[k])]
+        rest = rest[100 * np.minimum(n[rest], n[k]) >= threshold * np.maximum(n[rest], n[k])]
         # An earlier band that the two share has the pair already.
         rest = rest[~(bands[rest, :own_band] == bands[k, :own_band]).all(axis=2).any(axis=1)]
         if len(rest):
-            rest = rest[likely(np.broadcast_to(sketch[k], (len(rest), REGISTERS)), sketch[rest], np.full(len(rest), n[k]), n[rest])]
+            own = np.broadcast_to(sketch[k], (len(rest), REGISTERS))
+            rest = rest[likely(own, sketch[rest], np.full(len(rest), n[k]), n[rest], threshold)]
             firsts.append(np.full(len(rest), k))
             seconds.append(rest)
     if not firsts:
@@ -219,18 +246,18 @@ def _block_links(key: int, across: bool, members: list[tuple]) -> list[tuple[byt
                 sets[k] = next(shingle_sets(pa.array([text[k]])))
                 held += sets[k].nbytes
         own, other = (sets[k] if k in sets else next(shingle_sets(pa.array([text[k]]))) for k in (a, b))
-        if _linked(own, other):
+        if _linked(own, other, threshold):
             label[x] = y
             out.append((node[a], node[b]))
     return out
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= THRESHOLD * (len(a) + len(b) - shared)
+    return 100 * shared >= threshold * (len(a) + len(b) - shared)
 
 
-def _apart(members: DataFrame, linked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, linked: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) among members (key, node) of one bucket that ``linked`` (node, component) leaves apart; as many as
     connect them. A bucket's members are dealt into blocks, and each pair of blocks is one group, of bounded size."""
     own = nodes.select("node", "sketch", "n").join(linked, "node", "left")
@@ -244,7 +271,7 @@ def _apart(members: DataFrame, linked: DataFrame, nodes: DataFrame, texts: DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, low, high), group in groups(batches, 3):
-            found = _block_links(key, low != high, group)
+            found = _block_links(key, low != high, group, threshold)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["a", "b"])
 
@@ -255,9 +282,12 @@ def _apart(members: DataFrame, linked: DataFrame, nodes: DataFrame, texts: DataF
     return dealt.sortWithinPartitions("key", "low", "high").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD
+) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
+    Sets are linked whose Jaccard similarity is ``threshold`` hundredths or more, 50 to 99.
     component_id is the smallest id that links lead to, its own included. Null and empty texts have no shingles and are
     linked with nothing; equal sets are linked with each other, repeated rows too. Rows without id come after all others
     and get a null component unless they are linked with one. An empty table gives an empty result. Other columns are not
@@ -270,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     first = F.min(F.struct("doc_id", "n", "sketch")).alias("first")
     nodes = cut(sets.where("n > 0").groupBy("node").agg(first).select("node", "first.*"))
 
-    bands = nodes.select("node", "sketch").mapInArrow(_bands, "key long, node binary")
+    bands = _bands(nodes.select("node", "sketch"), threshold)
     buckets = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(bands.join(buckets, "key"))
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
@@ -282,9 +312,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ids = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     own_text = texts.join(ids, "doc_id").select("node", "text")
     own_text = cut(own_text.mapInArrow(_matching, "node binary, text string"))
-    links = cut(_verified(_likely_pairs(star, nodes), own_text))
+    links = cut(_verified(_likely_pairs(star, nodes, threshold), own_text, threshold))
     linked = components(links)
-    further = cut(_apart(members, linked, nodes, own_text))
+    further = cut(_apart(members, linked, nodes, own_text, threshold))
     if not further.isEmpty():
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
 
@@ -310,7 +340,7 @@ def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(own, pa.bool_()))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that no row with a smaller doc_id is linked with, over any links, with all their columns."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, threshold=threshold).where("kept").select("doc_id").distinct()
     return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")

@@ -61,7 +61,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), threshold=85)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

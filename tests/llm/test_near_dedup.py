@@ -84,3 +84,55 @@ def test_merged_registers_are_those_of_the_union():
     rng = np.random.default_rng(4)
     a, b = (rng.integers(0, 2**63, 500, dtype=np.uint64) for _ in range(2))
     assert (np.maximum(registers(a), registers(b)) == registers(np.union1d(a, b))).all()
+
+
+def linked_components(rows, threshold):
+    """(doc_id, smallest doc_id of its component) of (doc_id, text), by brute force."""
+    sets, least = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared and 100 * shared >= threshold * (len(sets[a]) + len(sets[b]) - shared) and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    return [(i, rows[k][0]) for (i, _), k in zip(rows, least, strict=True)]
+
+
+def pairs_between(low, high, n):
+    """Pairs of texts whose similarity in hundredths is from ``low`` to below ``high``."""
+    rng, out = random.Random(low), []
+    while len(out) < 2 * n:
+        words = [f"p{low}x{len(out)}x{k}" for k in range(rng.randrange(60, 160))]
+        changed = words[: -rng.randrange(1, 30)] + [f"q{low}x{len(out)}x{k}" for k in range(rng.randrange(1, 30))]
+        a, b = shingles(" ".join(words)), shingles(" ".join(changed))
+        if low * len(a | b) <= 100 * len(a & b) < high * len(a | b):
+            out += [" ".join(words), " ".join(changed)]
+    return out
+
+
+def test_threshold_of_80_against_brute_force(make_docs):
+    texts = pairs_between(80, 82, 150) + pairs_between(77, 80, 60) + pairs_between(85, 100, 20) + star(30)
+    rows = list(enumerate(texts))
+    for threshold in (80, 85):
+        want = linked_components(rows, threshold)
+        got = near_duplicates(make_docs(rows), threshold=threshold).select("doc_id", "component_id").collect()
+        assert sorted(map(tuple, got)) == want
+    assert sum(i != c for i, c in linked_components(rows, 80)) >= 150 + sum(i != c for i, c in want)
+
+
+def test_pipeline_stage_takes_80(spark, make_docs):
+    import corpus_pipeline
+
+    docs = make_docs(list(enumerate(pairs_between(80, 85, 10) + pairs_between(75, 80, 10))))
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 20, 2), *range(20, 40)]
+
+
+def test_bands_miss_as_few_pairs_at_any_threshold():
+    assert near_dedup.band_shape(85) == (20, 6) and near_dedup.band_shape(80) == (24, 5)
+    for threshold in range(50, 100):
+        bands, width = near_dedup.band_shape(threshold)
+        assert bands * width <= near_dedup.REGISTERS
+        assert (1 - (threshold / 100) ** width) ** bands <= near_dedup.MISSED
+    with pytest.raises(ValueError):
+        near_dedup.band_shape(100)
