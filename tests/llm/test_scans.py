@@ -2,6 +2,8 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from paypulse.llm import pii, secrets, spans
@@ -100,6 +102,18 @@ def test_trees_select_what_looks_like_personal_data():
     assert selector.select("order 1234-56789 done", []) == []
 
 
+def test_matches_of_each_generator_are_likely(spark):
+    texts = [
+        "jane (at) example.org", "jane(at)example.org", "jane [at] example.org", "a@b", "fe80:ab:cd:ef", "ab.cd.ef.ab",
+        ":ab.cd:ef", "1.2.3.4", "555 0 (1) 2-34 5", "1234567", "12 (34) 56 7", "GB82 WEST 1234 5698", "DE89370400440532013000",
+    ]
+    kinds = {kind for t in texts for kind, *_ in pii.candidates(t)}
+    assert kinds == set(pii.GENERATORS) and all(pii.candidates(t) for t in texts)
+    assert pc.match_substring_regex(pa.array(texts), pii._LIKELY).to_pylist() == [True] * len(texts)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert frame.where(F.col("text").rlike(pii._LIKELY)).count() == len(texts)
+
+
 def test_digests(spark):
     schema = f"spans {spans.SPANS}"
     frame = spark.createDataFrame([([("hex", 1, 30), ("random", 2, 3)],), ([],)], schema)
