@@ -102,6 +102,43 @@ def test_trees_select_what_looks_like_personal_data():
     assert selector.select("order 1234-56789 done", []) == []
 
 
+def test_personal_data_beyond_the_fixed_formats(make_docs):
+    rng = np.random.default_rng(2)
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def account():
+        own = number(18)
+        return f"DE{98 - int(own + '131400') % 97:02}{own}"
+
+    def personal(k):
+        n = number(12)
+        return (account(), f"jane{n[:5]}@mail{n[:2]}.org"[:40].replace("@", " (at) "), f"0049 {n[:3]} {n[3:9]}",
+                ":".join(f"{v:02x}" for v in rng.integers(0, 256, 6)))[k % 4]
+
+    def other(k):
+        n = account()
+        return (n[:2] + f"{(int(n[2:4]) + 5) % 100:02}" + n[4:], f"meet (at) noon{k}", f"1{number(3)} {number(3)} {number(6)}",
+                f"{k % 24:02}:{k % 60:02}:{k % 7}:{k % 5}")[k % 4]
+
+    texts = [(f"see {t} now", t if own else None) for k in range(800) for own, t in ((True, personal(k)), (False, other(k)))]
+    texts += [(f"mail x{k}@y{k % 9}.org or +49 {number(3)} {number(6)}", None) for k in range(100)]
+    got = found(pii.find_personal_data(make_docs([(k, t) for k, (t, _) in enumerate(texts)])))
+    chosen = {k: [texts[k][0][a:b] for kind, a, b in spans if kind in pii.GENERATORS] for k, spans in got.items()}
+    wanted = {k: t for k, (_, t) in enumerate(texts) if t}
+    assert sum(chosen[k] == [t] for k, t in wanted.items()) >= 0.95 * len(wanted)
+    assert sum(bool(v) for k, v in chosen.items() if k not in wanted) <= 0.02 * len(wanted)
+
+
+def test_candidates_are_trimmed_and_rewritten_matches_are_not_fixed_formats():
+    text = "write to mailto:jane[at]example.org, or 0049 30 1234567 12"
+    own = [text[a:b] for _, a, b in pii.candidates(text)]
+    assert "jane[at]example.org" in own and "0049 30 1234567" in own and "0049 30 1234567 12" in own
+    text = "a@b.co, 4111 1111 1111 1111 and +49 30 1234567"
+    new, places = pii.rewritten(text, pii.base_spans(text))
+    assert [new[a:b] for _, a, b in places] == ["a (at) b.co", "4111.1111.1111.1111", "0049 30 1234567"]
+    assert pii.base_spans(new) == []
+
+
 def test_matches_of_each_generator_are_likely(spark):
     texts = [
         "jane (at) example.org", "jane(at)example.org", "jane [at] example.org", "a@b", "fe80:ab:cd:ef", "ab.cd.ef.ab",
