@@ -5,7 +5,8 @@ distinct words and of some neutral ones; a linear softmax gives the log-odds of
 together in numpy, on windows of a bounded sample of the labelled rows. An unseen misspelling shares n-gram vectors with
 the words it is made of.
 
-A text is scored by its worst window, so that a few words count in a long text too; a logistic curve, fitted on sampled
+A text is scored by the worst of windows that overlap by half, so that a few words count in a long text too, also across a
+window's end; a logistic curve, fitted on sampled
 rows that the vectors were not trained on, makes that a probability. The model is linear in the words, so scoring needs one
 number for each bucket: the broadcast model is of fixed size.
 """
@@ -172,13 +173,18 @@ class _WordScores(dict):
         return out
 
     def worst(self, text: str) -> float:
-        """The highest score of a window; 0 for an empty text."""
-        words, score, best = words_of(text), self.__getitem__, None
-        for at in range(0, len(words), WINDOW):
-            window = set(words[at : at + WINDOW])
-            value = sum(map(score, window)) / (len(window) + NEUTRAL)
-            best = value if best is None or value > best else best
-        return best or 0.0
+        """The highest score of a window, which overlap by half; 0 for an empty text."""
+        words, score, half = words_of(text), self.__getitem__, WINDOW // 2
+        blocks = [set(words[at : at + half]) for at in range(0, len(words), half)]
+        sums = [sum(map(score, block)) for block in blocks]
+        if len(blocks) < 2:
+            return sums[0] / (len(blocks[0]) + NEUTRAL) if blocks else 0.0
+        best = -np.inf
+        for k in range(len(blocks) - 1):
+            both = blocks[k] & blocks[k + 1]
+            value = sums[k] + sums[k + 1] - sum(map(score, both))
+            best = max(best, value / (len(blocks[k]) + len(blocks[k + 1]) - len(both) + NEUTRAL))
+        return float(best)
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:

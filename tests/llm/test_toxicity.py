@@ -66,3 +66,18 @@ def test_folds(spark):
 
     got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
+
+
+def test_words_on_both_sides_of_a_cut_count_together():
+    from paypulse.llm.toxicity import BUCKETS, _WordScores
+
+    scores = _WordScores(np.zeros(BUCKETS, np.float32))
+    scores.update({w.encode(): 1.0 for w in BAD})
+    plain = [f"w{k}" for k in range(96)]
+    whole = 4 / (32 + 24)
+    for at in (0, 30, 46, 62, 92):
+        text = " ".join(plain[:at] + BAD + plain[at:92])
+        assert abs(scores.worst(text) - whole) < 1e-9
+    assert scores.worst("") == 0.0 and abs(scores.worst("moronic moronic") - 1 / 25) < 1e-9
+    repeated = " ".join(["w"] * 16 + ["moronic"] + ["w"] * 15)
+    assert abs(scores.worst(repeated) - 1 / (2 + 24)) < 1e-9
