@@ -13,6 +13,7 @@ number for each bucket: the broadcast model is of fixed size.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,9 +23,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+_LOG = logging.getLogger(__name__)
+
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 8, (3, 4, 5)
-#: At most so many labelled rows are used for training, those with the smallest hashes of their ids, and of them the first
-#: ones whose texts have so many characters together. Every ``CALIBRATE``-th of them only fits the final curve.
+#: At most so many labelled rows are used for training, those with the smallest hashes of their ids, and of them, in this
+#: order, the ones whose texts still fit into so many characters together; others are left out. Every ``CALIBRATE``-th of them only fits the final curve.
 SAMPLE_ROWS, SAMPLE_CHARS, CALIBRATE = 5000, 20_000_000, 5
 #: Words of fewer sampled texts are left out of the training.
 WORD_TEXTS = 2
@@ -38,11 +41,13 @@ FOLDS = 5
 
 
 class Model(NamedTuple):
-    """``weights``: log-odds that a bucket's vector gives; score = logistic(slope * worst window + offset)."""
+    """``weights``: log-odds that a bucket's vector gives; score = logistic(slope * worst window + offset); ``rows``: how
+    many it is made of."""
 
     weights: np.ndarray
     slope: float
     offset: float
+    rows: int = 0
 
 
 def buckets(word: bytes) -> list[int]:
@@ -197,7 +202,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     weights = _fit_vectors([t for t, k in zip(texts, learnt, strict=True) if k], y[learnt], epochs)
     scores = _WordScores(weights)
     x = np.array([scores.worst(t) for t, k in zip(texts, held, strict=True) if k])
-    return Model(weights, *_fit_curve(x, y[held]))
+    return Model(weights, *_fit_curve(x, y[held]), len(y))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -211,17 +216,19 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     chosen, chars = [], 0
-    for doc_id, size in texts.select("doc_id", F.length("text")).orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        chars += size
-        if chars > SAMPLE_CHARS and chosen:
-            break
-        chosen.append(doc_id)
+    sizes = texts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    for doc_id, size in sizes.toLocalIterator():
+        if chars + size <= SAMPLE_CHARS:
+            chars += size
+            chosen.append(doc_id)
     if not chosen:
         return train([], [])
     kind = dict(docs.dtypes)["doc_id"]
-    ids = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(chosen)], f"doc_id {kind}")
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], f"doc_id {kind}")
     rows = texts.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    model = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    _LOG.info("toxicity learns from %d rows of %d sampled ids, %d characters", model.rows, len(chosen), chars)
+    return model
 
 
 def toxicity(text: Column, model: Model, df: DataFrame) -> Column:
@@ -229,7 +236,7 @@ def toxicity(text: Column, model: Model, df: DataFrame) -> Column:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights, slope, offset = shared.value
+        weights, slope, offset, _ = shared.value
         scores = _WordScores(weights)
         for batch in batches:
             z = np.array([slope * scores.worst(t) + offset for t in batch], np.float64)

@@ -81,3 +81,17 @@ def test_words_on_both_sides_of_a_cut_count_together():
     assert scores.worst("") == 0.0 and abs(scores.worst("moronic moronic") - 1 / 25) < 1e-9
     repeated = " ".join(["w"] * 16 + ["moronic"] + ["w"] * 15)
     assert abs(scores.worst(repeated) - 1 / (2 + 24)) < 1e-9
+
+
+def test_texts_beyond_the_sample_are_left_out(spark, make_docs, monkeypatch):
+    import zlib
+
+    from paypulse.llm import toxicity
+
+    rows = corpus(120, 4, BAD)
+    usable = [(k, t, y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 5][:20]
+    first = spark.createDataFrame([(k,) for k, *_ in usable], "doc_id long").orderBy(F.xxhash64("doc_id")).first()[0]
+    texts = [(k, "long " * 20_000 if k == first else t) for k, t, _ in usable]
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 90_000)
+    labels = spark.createDataFrame([(k, y) for k, _, y in usable], "doc_id long, toxic int")
+    assert toxicity.train_on(make_docs(texts), labels).rows == len(usable) - 1
