@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paypulse.llm import chat, embedding_dedup, exact_dedup, mixing, near_dedup, packing, pii, secrets, spans, substring_dedup, toxicity
+from paypulse.llm import chat, embedding_dedup, exact_dedup, mixing, near_dedup, packing, pii, secrets, spans, substring_dedup, toxicity, warc
 from paypulse.llm.shared import read
+from paypulse.session import shared_dir
 
 #: Stands for a conversation whose texts hold control strings.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -85,6 +86,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = shared_dir(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), f"{root}/crawl")
+    warc.deduplicate(spark, f"{root}/crawl", f"{root}/deduplicated")
+    records = warc.read_records(spark, f"{root}/deduplicated", payloads=False)
+    return warc.resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which imports this module
 
@@ -103,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_toxicity": op10_toxicity,
+        "op12_warc": op12_warc,
         "pipeline": pipeline,
     }
 
@@ -127,6 +137,18 @@ WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D
 groups AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY norm)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM texts JOIN groups USING (norm)""",
+        "op12_warc": """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+digests AS (
+  SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           (CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)
+         for i in range(32)], '') AS digest
+  FROM payloads),
+firsts AS (SELECT payload, min(page_id) AS first_id FROM payloads GROUP BY payload)
+SELECT d.page_id, CAST(octet_length(encode(d.payload)) AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN d.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id <> f.first_id THEN f.first_id END AS refers_to
+FROM digests d JOIN firsts f USING (payload)""",
         "op7_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

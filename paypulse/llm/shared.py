@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import paypulse
 from paypulse.session import shared_dir
@@ -22,6 +22,9 @@ SPACE = r"\x20\x09-\x0D"
 #: Texts are hashed in pieces of about so many bytes, which bounds the memory of a task.
 PIECE_BYTES = 2 * 1024 * 1024
 
+#: ``join_sized`` broadcasts the rows of at most so many keys.
+HEAVY_KEYS = 1000
+
 _GOLDEN = 0x9E3779B97F4A7C15
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -68,6 +71,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_sized(rows: DataFrame, sized: DataFrame, on: list[str], size: str, total: int | None = None) -> DataFrame:
+    """``rows`` left-joined with the one row of ``sized`` that has their key; keys are not null. Both are read twice: cut them.
+
+    ``size`` of a key bounds how many of the rows have it, and all keys' sizes add up to ``total`` (by default the rows') at most.
+    Keys of a thousandth of it or more are a thousand at most; they are broadcast, so that their rows stay where
+    they are. No other key holds enough rows to be a hot one after the shuffle.
+    """
+    total = rows.count() if total is None else total
+    is_heavy = F.col(size) * HEAVY_KEYS >= max(total, 1)
+    heavy = F.broadcast(sized.where(is_heavy).withColumn("__heavy", F.lit(True)))
+    met = rows.join(heavy, on, "left")
+    light = met.where(F.col("__heavy").isNull()).select(*rows.columns).join(sized.where(~is_heavy), on, "left")
+    return met.where("__heavy").drop("__heavy").unionByName(light)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of equal values of the first ``keys`` columns, with the rows' other columns; a run has to fit into memory."""
     key, held = None, []

@@ -17,7 +17,7 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for table in ("documents", "conversations", "labels", "embeddings"):
+    for table in ("documents", "conversations", "labels", "embeddings", "pages"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF_DIR}/{table}.parquet')")
     return connection
 
@@ -39,7 +39,7 @@ def test_query(spark, duck, name):
 def test_registered_names():
     assert sorted(queries()) == sorted([f"op{n}_{name}" for n, name in (
         (1, "chat_formatting"), (2, "secret_scan"), (3, "personal_data"), (4, "exact_dedup"), (5, "near_dedup"), (6, "packing"),
-        (7, "mixing"), (8, "substring_dedup"), (9, "embedding_dedup"), (10, "toxicity"))] + ["pipeline"])
+        (7, "mixing"), (8, "substring_dedup"), (9, "embedding_dedup"), (10, "toxicity"), (12, "warc"))] + ["pipeline"])
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
 
 
