@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paypulse.llm import chat, embedding_dedup, exact_dedup, mixing, near_dedup, packing, pii, secrets, spans, substring_dedup, toxicity, warc
+from paypulse.llm import (
+    chat, collocations, embedding_dedup, exact_dedup, mixing, near_dedup, packing, pii, secrets, spans, substring_dedup, toxicity,
+    warc,
+)
 from paypulse.llm.shared import read
 from paypulse.session import shared_dir
 
@@ -94,6 +97,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which imports this module
 
@@ -113,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_toxicity": op10_toxicity,
         "op12_warc": op12_warc,
+        "op13_collocations": op13_collocations,
         "pipeline": pipeline,
     }
 
@@ -149,6 +157,31 @@ SELECT d.page_id, CAST(octet_length(encode(d.payload)) AS BIGINT) AS payload_byt
        CASE WHEN d.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN d.page_id <> f.first_id THEN f.first_id END AS refers_to
 FROM digests d JOIN firsts f USING (payload)""",
+        "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+placed AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM worded, (VALUES (1), (2), (3), (4)) AS t(m)),
+counts AS (
+  SELECT lang, w[s:s + m - 1] AS p, count(*) AS f FROM placed GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM counts WHERE len(p) > 1),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.k, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.p = c.p[1:c.k]
+              JOIN counts y ON y.lang = c.lang AND y.p = c.p[c.k + 1:len(c.p)]),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT c.lang, c.p[s:s + m - 1] AS p, max(c.f) AS most
+  FROM counts c, (VALUES (2), (3)) AS t(m), (VALUES (1), (2), (3)) AS u(s)
+  WHERE m < len(c.p) AND s + m - 1 <= len(c.p) GROUP BY ALL),
+free AS (
+  SELECT w.*, array_to_string(w.p, ' ') AS phrase FROM weakest w LEFT JOIN inner_phrases i ON i.lang = w.lang AND i.p = w.p
+  WHERE i.most IS NULL OR 100 * i.most < 80 * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
         "op7_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
