@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paypulse.llm import (
-    chat, collocations, embedding_dedup, exact_dedup, mixing, near_dedup, packing, pii, secrets, spans, substring_dedup, toxicity,
-    warc,
+    chat, collocations, embedding_dedup, exact_dedup, mixing, near_dedup, packing, pii, secrets, spans, spelling, substring_dedup,
+    toxicity, warc,
 )
 from paypulse.llm.shared import read
 from paypulse.session import shared_dir
@@ -89,6 +89,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(read(spark, sf_dir, "documents"), plant=True)
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_dir(spark, "warc")
     warc.write_archives(read(spark, sf_dir, "pages"), f"{root}/crawl")
@@ -119,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_spelling": op11_spelling,
         "op12_warc": op12_warc,
         "op13_collocations": op13_collocations,
         "pipeline": pipeline,

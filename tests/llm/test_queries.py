@@ -39,7 +39,7 @@ def test_query(spark, duck, name):
 def test_registered_names():
     assert sorted(queries()) == sorted([f"op{n}_{name}" for n, name in (
         (1, "chat_formatting"), (2, "secret_scan"), (3, "personal_data"), (4, "exact_dedup"), (5, "near_dedup"), (6, "packing"),
-        (7, "mixing"), (8, "substring_dedup"), (9, "embedding_dedup"), (10, "toxicity"), (12, "warc"), (13, "collocations"))] + ["pipeline"])
+        (7, "mixing"), (8, "substring_dedup"), (9, "embedding_dedup"), (10, "toxicity"), (11, "spelling"), (12, "warc"), (13, "collocations"))] + ["pipeline"])
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
 
 
