@@ -157,22 +157,32 @@ class Summary:
         return self.keys[self.counts + self.error >= threshold]
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Counted keys: those that occur once, and the others with their counts."""
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted uint32 keys as their differences, bytes of the same weight together: the high ones are nearly all equal, so that
+    Spark's compression of shuffled data halves them."""
+    return np.diff(keys.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(planes).view("<u4").ravel(), dtype=np.uint32)
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted keys with counts: those that occur once, the others, and the others' counts."""
     several = counts > 1
-    more = np.concatenate([keys[several].astype("<i8"), counts[several].astype("<i8")])
-    return keys[~several].astype("<u4").tobytes(), more.tobytes()
+    return _pack(keys[~several]), _pack(keys[several]), counts[several].astype("<u4").tobytes()
 
 
-def _unpacked(ones: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
-    single, several = np.frombuffer(ones, "<u4"), np.frombuffer(more, "<i8").reshape(2, -1)
-    keys = np.concatenate([single, several[0].astype(np.uint32)])
-    return keys, np.concatenate([np.ones(len(single), np.int64), several[1]])
+def _unpacked(ones: bytes, more: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    single = _unpack(ones)
+    counts = np.frombuffer(counts, "<u4").astype(np.int64)
+    return np.concatenate([single, _unpack(more)]), np.concatenate([np.ones(len(single), np.int64), counts])
 
 
-def surviving(lists: list[tuple[bytes, bytes]], threshold: int) -> np.ndarray:
+def surviving(lists: list[tuple[bytes, bytes, bytes]], threshold: int) -> np.ndarray:
     """Sorted keys of one shard's packed lists that the merged summary leaves as possibly frequent."""
-    mass = sum(len(ones) // 4 + int(np.frombuffer(more, "<i8").reshape(2, -1)[1].sum()) for ones, more in lists)
+    mass = sum(len(ones) // 4 + int(np.frombuffer(counts, "<u4").sum(dtype=np.int64)) for ones, _, counts in lists)
     summary, keys, counts, held = Summary(mass // threshold + 1), [], [], 0
     for one in lists:
         k, c = _unpacked(*one)
@@ -251,20 +261,19 @@ def _survivors(chunks: DataFrame, longest: int, threshold: int, shard_bits: int)
                 starts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1]))
                 low = keys.astype(np.uint32)
                 lists = [_packed(low[a:b], counts[a:b]) for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
-                ones, more = zip(*lists, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shards[starts]), pa.array(np.full(len(starts), chunk)), pa.array(ones, pa.binary()),
-                     pa.array(more, pa.binary())], ["shard", "chunk", "ones", "more"],
+                    [pa.array(shards[starts]), pa.array(np.full(len(starts), chunk)),
+                     *(pa.array(x, pa.binary()) for x in zip(*lists, strict=True))], ["shard", "chunk", "ones", "more", "counts"],
                 )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[pa.RecordBatch]:
             keep = surviving([row[1:] for row in held], threshold)
-            for chunk, ones, more in held:
-                keys = _unpacked(ones, more)[0]
+            for chunk, *packed in held:
+                keys = np.sort(_unpacked(*packed)[0])
                 keys = keys[_contains(keep, keys)]
                 if len(keys):
-                    yield pa.RecordBatch.from_pylist([{"chunk": chunk, "shard": shard, "keys": keys.astype("<u4").tobytes()}], schema)
+                    yield pa.RecordBatch.from_pylist([{"chunk": chunk, "shard": shard, "keys": _pack(keys)}], schema)
 
         schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary())])
         shard, held = None, []
@@ -278,7 +287,9 @@ def _survivors(chunks: DataFrame, longest: int, threshold: int, shard_bits: int)
         if held:
             yield from found()
 
-    lists = chunks.select("chunk", "lang", "text").mapInArrow(count, "shard long, chunk long, ones binary, more binary")
+    lists = chunks.select("chunk", "lang", "text").mapInArrow(
+        count, "shard long, chunk long, ones binary, more binary, counts binary"
+    )
     dealt = lists.repartition(shuffle_partitions(chunks.sparkSession), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(merge, "chunk long, shard long, keys binary")
 
@@ -332,7 +343,7 @@ def sequence_counts(
         for batch in batches:
             has_keys = batch.column(2).is_valid()
             for row in batch.filter(has_keys).select([0, 1, 2]).to_pylist():
-                keys = np.frombuffer(row["keys"], "<u4").astype(np.uint64) | np.uint64(row["shard"] << 32)
+                keys = _unpack(row["keys"]).astype(np.uint64) | np.uint64(row["shard"] << 32)
                 keep.setdefault(row["chunk"], []).append(keys)
             yield batch.filter(pc.invert(has_keys)).select([0, 3, 4])
 
