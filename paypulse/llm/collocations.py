@@ -32,7 +32,7 @@ INSIDE = 80
 SCALE = 2_000_000
 NO_LANG = "und"
 #: Bytes of text in a chunk, which is what a task holds at a time; and sequences of a shard, estimated from the bytes.
-CHUNK_BYTES, SHARD_SEQUENCES, WORD_BYTES = 8 << 20, 4 << 20, 6
+CHUNK_BYTES, SHARD_SEQUENCES, WORD_BYTES = 4 << 20, 4 << 20, 6
 
 _BLANK, _BREAK, _LETTER = 0, 1, 2
 _KIND = np.full(256, _LETTER, np.uint8)
@@ -61,7 +61,7 @@ def _utf8(column: pa.Array, null: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def segments(langs: pa.Array, texts: pa.Array, limit: int = 2 * CHUNK_BYTES) -> Iterator[Segment]:
+def segments(langs: pa.Array, texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Segment]:
     """The words of whole texts, A-Z in lower case, in segments of about ``limit`` bytes that end where a piece ends."""
     data, offsets = _utf8(texts, "")
     coded = pc.fill_null(langs, NO_LANG).dictionary_encode()
@@ -89,7 +89,7 @@ def segments(langs: pa.Array, texts: pa.Array, limit: int = 2 * CHUNK_BYTES) ->
             row = np.searchsorted(offsets, starts + begin, side="right") - 1
             yield Segment(
                 codes[row].astype(np.int64), words.indices.to_numpy().astype(np.int64),
-                np.cumsum(breaks, dtype=np.int64)[starts] + row, names, words.dictionary,
+                np.cumsum(breaks, dtype=np.int32)[starts] + row, names, words.dictionary,
             )
         begin = end
 
