@@ -31,50 +31,49 @@ LEVELS = ("e", "n", "t", "a", "i", "r", "s", "o", "hl", "du", "cmg", "")
 #: Levels at which the top of the trie may end.
 DEPTHS = (4, 8, len(LEVELS))
 #: Words of a shard, searches of each of them that go to one copy of a shard, and words counted in a task before they are sent on.
-SHARD_WORDS, SHARD_SEARCHES, TASK_WORDS = 4096, 16, 1 << 19
+SHARD_WORDS, SHARD_SEARCHES, TASK_WORDS = 1 << 14, 8, 1 << 19
 #: Searches that go down together, words of a branch that are compared without going further down, pairs compared at a time.
-BLOCK, LEAF_WORDS, PAIRS = 4096, 32, 1 << 20
-#: One run in so many is changed in ``op11``'s input.
+BLOCK, LEAF_WORDS, PAIRS = 1 << 14, 16, 1 << 18
+#: One run in so many loses a letter where misspellings are planted.
 CHANGED = 97
 
-_RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")  # U+00C0 to U+00FF are C3 80 to C3 BF in UTF-8
+_RUN = re.compile("[a-z\u00c0-\u00ff]{%d,}" % MIN_LETTERS)
 _LOWER = bytes(b + 32 if ord("A") <= b <= ord("Z") else b for b in range(256))
 _LEVEL = np.full(256, len(LEVELS) - 1)
 for _k, _letters in enumerate(LEVELS):
     _LEVEL[[ord(x) for x in _letters]] = _k
+#: Letters of a word, from either end, that are compared in numpy.
+WIDTH = 40
 _OWN, _COPY, _VISITOR = 0, 1, 2
+_POWER = np.uint64(0xD1342543DE82EF95)
 
 
 # --- counting words --------------------------------------------------------------
 
-def changed(doc_id: int | None, run: bytes) -> bytes:
-    """``run`` without one of its letters where the checksum of the id and the run asks for that, as a planted misspelling."""
-    h = zlib.crc32(run, zlib.crc32(b"%s:" % ("" if doc_id is None else str(doc_id)).encode()))
-    if h % CHANGED:
-        return run
-    letters = run.decode()
-    at = h % len(letters)
-    return (letters[:at] + letters[at + 1 :]).encode()
-
-
 def word_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", plant: bool = False) -> DataFrame:
     """(word, n) of all words of ``MIN_LETTERS`` and more that occur ``MIN_COUNT`` times: maximal runs of A-Z, a-z and U+00C0 to
-    U+00FF, A-Z in lower case. ``plant`` changes some runs by ``changed`` first. A null text has no words, a null id counts
-    as empty."""
+    U+00FF, A-Z in lower case. With ``plant`` some runs lose a letter first, as planted misspellings: those whose crc32 of
+    ``<doc_id>:<run>`` is divisible by ``CHANGED``. A null text has no words, a null id counts as empty."""
 
     def flush(counts: Counter) -> pa.RecordBatch:
-        rows = [(w.decode(), n) for w, n in counts.items() if len(w) >= 2 * MIN_LETTERS or len(w.decode()) >= MIN_LETTERS]
+        rows = [x for x in counts.items() if len(x[0]) >= MIN_LETTERS]
         counts.clear()
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        counts: Counter[str] = Counter()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True):
-                own = Counter(_RUN.findall(text.as_py().translate(_LOWER))) if text.is_valid else {}
-                for word, n in own.items():
-                    if len(word) >= MIN_LETTERS:
-                        counts[changed(doc_id.as_py(), word) if plant else word] += n
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+                own = Counter(_RUN.findall(text.as_py().translate(_LOWER).decode())) if text.is_valid else {}
+                if plant:
+                    before = zlib.crc32(b"%s:" % ("" if doc_id is None else str(doc_id)).encode())
+                    for word in list(own):
+                        h = zlib.crc32(word.encode(), before)
+                        if not h % CHANGED:
+                            at = h % len(word)
+                            n = own.pop(word)
+                            counts[word[:at] + word[at + 1 :]] += n
+                counts.update(own)
                 if len(counts) > TASK_WORDS:
                     yield flush(counts)
         yield flush(counts)
@@ -86,11 +85,47 @@ def word_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 # --- vectors, the trie and its search ----------------------------------------------
 
+class Letters:
+    """The letters of some words one after the other, with the word and the place of each; ``starts`` has an entry more."""
+
+    def __init__(self, words: list[str]):
+        self.letters = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.word = np.repeat(np.arange(len(words)), self.lengths)
+        self.place = np.arange(len(self.letters)) - self.starts[self.word]
+
+    def vectors(self) -> np.ndarray:
+        """For each word the counts of its letters by level."""
+        n, levels = len(self.lengths), len(LEVELS)
+        return np.bincount(self.word * levels + _LEVEL[self.letters], minlength=n * levels).reshape(n, levels).astype(np.int32)
+
+    def halves(self) -> np.ndarray:
+        """Hashes of what two near words may share: (word; as the shorter one or one of two equally long ones, as the longer one;
+        first, last letters). Two near words, the shorter one of m letters, share their first or their last m // 2 letters."""
+        powers = np.full(int(self.lengths.max(initial=0)) + 1, _POWER, np.uint64)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        value = self.letters.astype(np.uint64) + np.uint64(1)
+        from_start = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * powers[self.place])])
+        from_end = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * powers[self.lengths[self.word] - 1 - self.place])])
+        first, last = self.starts[:-1], self.starts[1:]
+        out = np.empty((len(self.lengths), 2, 2), np.uint64)
+        for k, half in enumerate((self.lengths // 2, (self.lengths - 1) // 2)):
+            out[:, k, 0] = from_start[first + half] - from_start[first]
+            out[:, k, 1] = from_end[last] - from_end[last - half]
+        return out
+
+    def aligned(self, from_end: bool) -> np.ndarray:
+        """The first, or backwards the last, ``WIDTH`` letters of each word."""
+        place = self.lengths[self.word] - 1 - self.place if from_end else self.place
+        out, near_by = np.zeros((len(self.lengths), WIDTH), np.uint8), place < WIDTH
+        out[self.word[near_by], place[near_by]] = self.letters[near_by]
+        return out
+
+
 def vectors(words: list[str]) -> np.ndarray:
-    """For each word the counts of its letters by level."""
-    letters = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    return np.bincount(row * len(LEVELS) + _LEVEL[letters], minlength=len(words) * len(LEVELS)).reshape(-1, len(LEVELS))
+    return Letters(words).vectors()
 
 
 def near(a: str, b: str) -> bool:
@@ -107,23 +142,31 @@ def near(a: str, b: str) -> bool:
 
 
 class Words:
-    """Words with their vectors, and hashes of the halves that two near words may share.
-
-    Two near words, the shorter one of m letters, share their first or their last m // 2 letters.
-    """
+    """Words in the order of their vectors, with what it takes to compare them."""
 
     def __init__(self, words: list[str], n: list[int]):
-        order = np.arange(len(words))
-        self.vectors = vectors(words)
-        if len(words):
-            order = np.lexsort(self.vectors.T[::-1])
+        letters = Letters(words)
+        self.vectors = letters.vectors()
+        order = np.lexsort(self.vectors.T[::-1])
+        self.vectors, self.halves = self.vectors[order], letters.halves()[order]
+        self.left, self.right = letters.aligned(False)[order], letters.aligned(True)[order]
         self.words, self.n = [words[k] for k in order], np.array(n, np.int64)[order]
-        self.vectors = self.vectors[order]
-        self.lengths = self.vectors.sum(1)
-        self.halves = np.array(
-            [[hash(w[:h]) if front else hash(w[len(w) - h :]) for h in (len(w) // 2, (len(w) - 1) // 2) for front in (True, False)]
-             for w in self.words], np.int64
-        ).reshape(-1, 2, 2)  # (word; as the shorter one or one of equal length, as the longer one; first half, last half)
+        self.lengths = letters.lengths[order]
+
+
+def are_near(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """``near`` of the different words i of ``a`` and j of ``b``, whose lengths differ by one at most: common first and last
+    letters make up the shorter one, but for one letter where both are equally long."""
+    shorter = np.minimum(a.lengths[i], b.lengths[j])
+
+    def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        other = x[i] != y[j]
+        return np.minimum(np.where(other.any(1), other.argmax(1), WIDTH), shorter)
+
+    out = common(a.left, b.left) + common(a.right, b.right) >= shorter - (a.lengths[i] == b.lengths[j])
+    for k in np.flatnonzero(shorter >= WIDTH):
+        out[k] = near(a.words[i[k]], b.words[j[k]])
+    return out
 
 
 def search(trie: Words, asked: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,7 +197,7 @@ def search(trie: Words, asked: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]
                 yield from walk(a, b, level + 1, who[on], surplus[on] - np.maximum(more, 0), deficit[on] - np.maximum(-more, 0))
 
     if len(trie.words) and len(asked.words):
-        budget = np.ones(len(asked.words), np.int64)
+        budget = np.ones(len(asked.words), np.int32)
         yield from walk(0, len(trie.words), 0, np.arange(len(asked.words)), budget, budget)
 
 
@@ -169,16 +212,14 @@ def near_pairs(trie: Words, asked: Words, same: bool, half: int, kind: str) -> I
         longer = (asked.lengths[i] > trie.lengths[j]).astype(int), (asked.lengths[i] < trie.lengths[j]).astype(int)
         likely = (asked.halves[i, longer[0]] == trie.halves[j, longer[1]]).any(1)
         i, j = i[likely], j[likely]
-        found = np.array([_found(asked.words[a], trie.words[b], half, kind) for a, b in zip(i, j, strict=True)], bool)
+        found = are_near(asked, i, trie, j)
+        if kind:
+            found[found] = [
+                (asked.words[a][:half] == trie.words[b][:half]) == (kind == "f") for a, b in zip(i[found], j[found], strict=True)
+            ]
         yield i[found], j[found]
 
 
-def _found(a: str, b: str, half: int, kind: str) -> bool:
-    if not near(a, b):
-        return False
-    return not kind or (a[:half] == b[:half]) == (kind == "f")
-
-
 class _Best:
     """For each word how many near ones were found, and the most frequent of them, the first in order among equals."""
 
