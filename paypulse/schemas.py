@@ -41,6 +41,21 @@ COMMITTED = T.StructType([
     T.StructField("committed", _L),
 ])
 
+# What the ingest has taken of a topic partition.
+INGESTED = T.StructType([
+    T.StructField("topic", _S),
+    T.StructField("partition", T.IntegerType()),
+    T.StructField("end_offset", _L),
+    T.StructField("landed", _L),
+    T.StructField("rejected", _L),
+])
+
+# Rows of a CURATED table after a batch.
+TOTALS = T.StructType([T.StructField("table", _S), T.StructField("total", _L)])
+
+# How many current payments have paid for an order.
+PAID_ORDERS = T.StructType([T.StructField("order_id", _S), T.StructField("paid", _L)])
+
 
 @dataclass(frozen=True)
 class EventTable:

@@ -1,23 +1,25 @@
 """Exact metrics kept up to date batch by batch.
 
-An update may move a payment to another minute, change its status or point it to
-another order, so adding differences is not enough. Each batch recomputes, from the
-CURATED tables, just the minutes its changes touched, before and after. The stored
-metric is a log: per minute the last batch that wrote it counts.
+An update may move a payment to another minute, change its status or point it to another order. Sums of amounts can't be
+corrected exactly by differences, so each batch recomputes, from the CURATED payments, the minutes its changes touched, before
+and after. Counts can: conversion is kept by what each touched order was and is, its minute and how many payments have paid for
+it, which two indexes by order tell without a scan of the orders or the payments. The stored metric is a log: per minute the
+last batch that wrote it counts.
 """
 
 from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from paypulse.functions.ratio import safe_pct
 from paypulse.functions.time import bucket_start
-from paypulse.operators.metrics import order_conversion, payment_minutes
-from paypulse.schemas import MINUTES, ORDERS, PAYMENTS, EventTable
-from paypulse.sources import batchlog
+from paypulse.operators.metrics import RATE_DIGITS, payment_minutes
+from paypulse.schemas import MINUTES, ORDERS, PAID, PAYMENTS, EventTable
+from paypulse.sources import batchlog, keyed
 from paypulse.sources.layers import (
-    change_schema, curated_path, layer_path, read_curated, read_minutes,
+    change_schema, curated_path, curated_table, layer_path, paid_orders_table, read_curated, read_minutes,
 )
 
 #: Ranges of days in a filter.
@@ -92,35 +94,92 @@ def _changes_of(spark: SparkSession, root: str, table: EventTable, batch_id: int
 
 def update_metrics(spark: SparkSession, root: str, batch_id: int) -> None:
     """Bring the stored metrics up to ``batch_id``, whose changes must be written already."""
-    order_changes = _changes_of(spark, root, ORDERS, batch_id)
     payment_changes = _changes_of(spark, root, PAYMENTS, batch_id)
-    orders = read_curated(spark, root, ORDERS, batch_id)
-    payments = read_curated(spark, root, PAYMENTS, batch_id)
-
-    paid_minutes = _touched_minutes(payment_changes).persist()
-    order_ids = (
-        payment_changes.select("order_id")
-        .unionByName(payment_changes.select(F.col("before.order_id").alias("order_id")))
-        .where(F.col("order_id").isNotNull())
-        .distinct()
+    if batch_id > batchlog.manifest_of(spark, layer_path(root, "analytics", "payment_minutes")).merged:
+        minutes = _touched_minutes(payment_changes).persist()
+        try:
+            touched = _in_minutes(read_curated(spark, root, PAYMENTS, batch_id), minutes)
+            _store(payment_minutes(touched), minutes, root, "payment_minutes", batch_id)
+        finally:
+            minutes.unpersist()
+    merged = max(
+        batchlog.manifest_of(spark, path).merged
+        for path in (paid_orders_table(root).path, layer_path(root, "analytics", "order_minutes"))
     )
-    paid_for = orders.join(order_ids, "order_id", "left_semi")
-    order_minutes = (
-        _touched_minutes(order_changes)
-        .unionByName(paid_for.select(bucket_start(F.col("event_ts")).alias("minute")))
-        .distinct()
-        .persist()
+    if batch_id > merged:
+        _update_conversion(spark, root, batch_id, _changes_of(spark, root, ORDERS, batch_id), payment_changes)
+
+
+def _paid(status: str, order_id: str) -> Column:
+    return (F.col(status) == PAID) & F.col(order_id).isNotNull()
+
+
+def _update_conversion(
+    spark: SparkSession, root: str, batch_id: int, order_changes: DataFrame, payment_changes: DataFrame
+) -> None:
+    """Store how often the batch's orders are paid now, and the minutes whose counts that has changed.
+
+    The batch's order ids are looked up in two indexes: how often they were paid, and, for those that only payments name, when
+    the order was made. Both as of the batch before, so that a replay gives the same.
+    """
+    paid_orders = paid_orders_table(root)
+    paid_now = payment_changes.where(_paid("status", "order_id")).select("order_id", F.lit(1).alias("step"))
+    paid_before = payment_changes.where(_paid("before.status", "before.order_id")).select(
+        F.col("before.order_id").alias("order_id"), F.lit(-1).alias("step")
     )
+    steps = paid_now.unionByName(paid_before).groupBy("order_id").agg(F.sum("step").alias("step")).where("step <> 0")
+    changed = order_changes.where("order_id is not null").select(
+        "order_id", F.lit(True).alias("changed"), "event_ts", F.col("before").isNotNull().alias("existed"),
+        F.col("before.event_ts").alias("old_ts"),
+    )
+    touched = changed.join(steps, "order_id", "full_outer").persist()
+    others = touched.where("changed is null").select("order_id").persist()
     try:
-        touched = _in_minutes(payments, paid_minutes)
-        _store(payment_minutes(touched), paid_minutes, root, "payment_minutes", batch_id)
-
-        their_orders = _in_minutes(orders, order_minutes).select("event_ts", "order_id")
-        conversion = order_conversion(their_orders, payments, few_orders=True)
-        _store(conversion, order_minutes, root, "order_minutes", batch_id)
+        touched.count()
+        was_paid = keyed.lookup(spark, paid_orders, touched, batch_id - 1).withColumnRenamed("paid", "was")
+        made = keyed.lookup(spark, curated_table(root, ORDERS), others, batch_id - 1).select(
+            "order_id", F.lit(True).alias("found"), F.col("event_ts").alias("its_ts")
+        )
+        state = touched.join(was_paid, "order_id", "left").join(made, "order_id", "left")
+        state = state.withColumn("step", F.coalesce("step", F.lit(0))).withColumn("now", F.coalesce("was", F.lit(0)) + F.col("step"))
+        paid = state.where("step <> 0").select(
+            "order_id", F.col("now").alias("paid"), F.when(F.col("was").isNotNull(), F.struct(F.col("was").alias("paid"))).alias("before")
+        )
+        batchlog.write_batch(paid, paid_orders.path, batch_id)
+        new = state.where("changed or found").select(
+            F.when(F.col("changed"), F.col("event_ts")).otherwise(F.col("its_ts")).alias("ts"),
+            F.lit(1).alias("orders"), (F.col("now") > 0).cast("int").alias("paid"), F.lit(0).alias("keyless"),
+        )
+        old = state.where("existed or found").select(
+            F.when(F.col("changed"), F.col("old_ts")).otherwise(F.col("its_ts")).alias("ts"),
+            F.lit(-1).alias("orders"), (-(F.coalesce("was", F.lit(0)) > 0).cast("int")).alias("paid"), F.lit(0).alias("keyless"),
+        )
+        keyless = order_changes.where("order_id is null").select(
+            F.col("event_ts").alias("ts"), F.lit(0).alias("orders"), F.lit(0).alias("paid"), F.lit(1).alias("keyless")
+        )
+        _store_conversion(spark, root, batch_id, new.unionByName(old).unionByName(keyless))
     finally:
-        paid_minutes.unpersist()
-        order_minutes.unpersist()
+        for frame in (touched, others):
+            frame.unpersist()
+
+
+def _store_conversion(spark: SparkSession, root: str, batch_id: int, steps: DataFrame) -> None:
+    """Add ``steps`` (ts, orders, paid, keyless) to the stored counts of their minutes."""
+    sums = steps.groupBy(bucket_start(F.col("ts")).alias("minute")).agg(*(F.sum(c).alias(c) for c in ("orders", "paid", "keyless")))
+    sums = sums.where("orders <> 0 or paid <> 0 or keyless <> 0")
+    stored = read_minutes(spark, root, "order_minutes", batch_id - 1, hidden=True).select(
+        F.col("minute").alias("_minute"), F.col("total_orders").alias("_orders"), F.col("paid_orders").alias("_paid"),
+        F.col("keyless").alias("_keyless"),
+    )
+    found = sums.join(stored, F.col("minute").eqNullSafe(F.col("_minute")), "left")
+    now = {c: (F.coalesce(f"_{c}", F.lit(0)) + F.col(c)).cast("bigint") for c in ("orders", "paid", "keyless")}
+    rows = found.select(
+        "minute", now["orders"].alias("total_orders"), now["paid"].alias("paid_orders"), now["keyless"].alias("keyless")
+    )
+    rate = safe_pct(F.col("paid_orders"), F.col("total_orders"), RATE_DIGITS).alias("conversion_rate_pct")
+    present = ((F.col("total_orders") > 0) | (F.col("keyless") > 0)).alias("present")
+    rows = rows.select("minute", "total_orders", "paid_orders", rate, "keyless", present)
+    batchlog.write_batch(rows, layer_path(root, "analytics", "order_minutes"), batch_id)
 
 
 def read_metric(spark: SparkSession, root: str, metric: str) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 from paypulse.operators.health import group_commits
 from paypulse.operators.unpack import unpack
 from paypulse.operators.upsert import is_newer, latest_by_key
-from paypulse.schemas import ORDERS, PAYMENTS, EventTable
-from paypulse.sources import batchlog
+from paypulse.schemas import ORDERS, PAYMENTS, TABLES, TOTALS, EventTable
+from paypulse.sources import batchlog, keyed
 from paypulse.sources.layers import (
-    BEFORE, compact_all, curated_path, layer_path, new_rows, offsets_path, read_versions,
+    curated_path, curated_table, layer_path, maintain, new_rows, offsets_path, read_totals, totals_path,
 )
 from paypulse.streaming.incremental import update_metrics
 
@@ -27,14 +27,13 @@ COMPACT_EVERY = 60
 def promote_batch(spark: SparkSession, new: DataFrame, root: str, table: EventTable, batch_id: int) -> None:
     """Merge new typed rows into the CURATED table: latest load time wins, at the same time the highest offset.
 
-    Only the current rows of the batch's keys take part in the comparison, and only the
-    columns that decide it or that metrics need; they are found by a semi join whose small
-    side is the batch. The batch is counted first:
+    Only the current rows of the batch's keys take part in the comparison, and only the columns that decide it or that
+    metrics need; the table's index finds them without a scan of the table. The batch is counted first:
     that fills its cache, so Catalyst decides on its true size whether to broadcast it.
     Rows without a key match nothing; they are added without being joined.
     """
-    path, columns = curated_path(root, table), table.schema.names
-    if batch_id <= batchlog.snapshot_of(spark, path)[0]:
+    target, columns = curated_table(root, table), table.schema.names
+    if batch_id <= batchlog.manifest_of(spark, target.path).merged:
         return
     rows = latest_by_key(
         new.select(*columns, F.col("offset").alias("seq")), table.key, "load_time", "seq"
@@ -42,27 +41,36 @@ def promote_batch(spark: SparkSession, new: DataFrame, root: str, table: EventTa
     try:
         if rows.count() == 0:
             return
-        keyed = rows.where(F.col(table.key).isNotNull())
-        current = read_versions(spark, root, table, batch_id - 1).join(
-            keyed.select(table.key), table.key, "left_semi"
-        )
-        kept = [c for c in columns if c in BEFORE]
-        before = current.select(
-            F.col(table.key).alias("_key"), "load_time", "seq", F.struct(*kept).alias("before")
-        )
+        has_key = rows.where(F.col(table.key).isNotNull())
+        current = keyed.lookup(spark, target, has_key, batch_id - 1)
+        kept = target.change_schema["before"].dataType.names
+        before = current.select(F.col(table.key).alias("_key"), "load_time", "seq", F.struct(*kept).alias("before"))
         winners = (
-            keyed.alias("s").join(before.alias("t"), F.col(f"s.{table.key}") == F.col("_key"), "left")
+            has_key.alias("s").join(before.alias("t"), F.col(f"s.{table.key}") == F.col("_key"), "left")
             .where(F.col("_key").isNull() | is_newer("s", "t", "load_time", "seq"))
             .select("s.*", "before")
         )
         keyless = rows.where(F.col(table.key).isNull())
         batchlog.write_batch(
-            winners.unionByName(keyless, allowMissingColumns=True), path, batch_id
+            winners.unionByName(keyless, allowMissingColumns=True), target.path, batch_id
         )
     finally:
         rows.unpersist()
 
 
+def _write_totals(spark: SparkSession, root: str, batch_id: int) -> None:
+    """The tables' numbers of rows: those before the batch, and the rows it has added without replacing one."""
+    if batch_id <= batchlog.manifest_of(spark, totals_path(root)).upto:
+        return
+    added = read_totals(spark, root, batch_id - 1)
+    for table in TABLES.values():
+        changes = batchlog.read_batches(spark, curated_path(root, table), curated_table(root, table).change_schema, batch_id - 1, batch_id)
+        new = changes.where(F.col("before").isNull()).agg(F.count("*").alias("total"))
+        added = added.unionByName(new.select(F.lit(table.name).alias("table"), "total"))
+    totals = added.groupBy("table").agg(F.sum("total").alias("total")).select(*TOTALS.names)
+    batchlog.write_batch(totals.coalesce(1), totals_path(root), batch_id)
+
+
 def _write_commits(batch: DataFrame, root: str, batch_id: int) -> None:
     commits = group_commits(batch, PROMOTE_GROUP).coalesce(1)
     batchlog.write_batch(commits, offsets_path(root), batch_id)
@@ -82,8 +90,9 @@ def start_promote(
     Both tables share one query, hence one batch number. Every step of a batch
     overwrites its own output folder, so a batch run again after a failure leaves
     the same result. Keep the checkpoint with the tables: batch numbers come from it.
-    ``compact_every`` folds the batch folders into snapshots after that many batches, an hour's
-    by default; ``None`` leaves that to the caller.
+    The keyed tables are merged in tiers as they grow. ``compact_every`` folds the small logs after that many batches,
+    an hour's by default, and removes what no reader can need any more; with ``None`` nothing is merged or removed, which
+    leaves all that to the caller.
     """
     feeds = [
         unpack(
@@ -101,9 +110,10 @@ def start_promote(
                 promote_batch(session, batch.where(F.col("_table") == table.name), root, table, batch_id)
             if with_metrics:
                 update_metrics(session, root, batch_id)
+            _write_totals(session, root, batch_id)
             _write_commits(batch, root, batch_id)
-            if compact_every and (batch_id + 1) % compact_every == 0:
-                compact_all(session, root)
+            if compact_every:
+                maintain(session, root, small=(batch_id + 1) % compact_every == 0)
         finally:
             batch.unpersist()
 
