@@ -89,23 +89,29 @@ def _one_row(parts: list[DataFrame]) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-def _throughput_parts(
-    raw_orders: DataFrame,
-    raw_payments: DataFrame,
-    curated_orders: DataFrame,
-    curated_payments: DataFrame,
-    as_of: datetime | str | None,
-    minutes: int,
-) -> list[DataFrame]:
+def _recent(raw_orders: DataFrame, raw_payments: DataFrame, as_of: datetime | str | None, minutes: int) -> list[DataFrame]:
     recent = F.col("load_time") >= ntz(minutes_before(as_utc(as_of), minutes))
     return [
         raw_orders.where(recent).agg(F.count("*").alias("orders_5min")),
         raw_payments.where(recent).agg(F.count("*").alias("payments_5min")),
+    ]
+
+
+def _totals(curated_orders: DataFrame, curated_payments: DataFrame) -> list[DataFrame]:
+    return [
         curated_orders.agg(F.count("*").alias("curated_orders_total")),
         curated_payments.agg(F.count("*").alias("curated_payments_total")),
     ]
 
 
+def _kept_totals(totals: DataFrame) -> list[DataFrame]:
+    """The same of kept totals (table, total), without a count of the tables."""
+    return [
+        totals.agg(F.coalesce(F.max(F.when(F.col("table") == t, F.col("total"))), F.lit(0).cast("bigint")).alias(f"curated_{t}_total"))
+        for t in ("orders", "payments")
+    ]
+
+
 def ingest_throughput(
     raw_orders: DataFrame,
     raw_payments: DataFrame,
@@ -115,9 +121,22 @@ def ingest_throughput(
     minutes: int = THROUGHPUT_MINUTES,
 ) -> DataFrame:
     """orders_5min, payments_5min (rows landed lately), curated_orders_total, curated_payments_total."""
-    return _one_row(
-        _throughput_parts(raw_orders, raw_payments, curated_orders, curated_payments, as_of, minutes)
-    )
+    return _one_row(_recent(raw_orders, raw_payments, as_of, minutes) + _totals(curated_orders, curated_payments))
+
+
+def kept_throughput(
+    raw_orders: DataFrame, raw_payments: DataFrame, totals: DataFrame, as_of: datetime | str | None = None,
+    minutes: int = THROUGHPUT_MINUTES,
+) -> DataFrame:
+    """``ingest_throughput`` with the totals that the promotion keeps."""
+    return _one_row(_recent(raw_orders, raw_payments, as_of, minutes) + _kept_totals(totals))
+
+
+def _lags(log: DataFrame, committed: DataFrame, group: str) -> list[DataFrame]:
+    return [
+        total_lag(log, committed, topic, group).select(F.col("lag").alias(f"{topic}_lag"))
+        for topic in SUMMARY_TOPICS
+    ]
 
 
 def pipeline_summary(
@@ -132,11 +151,13 @@ def pipeline_summary(
     minutes: int = THROUGHPUT_MINUTES,
 ) -> DataFrame:
     """orders_lag, payments_lag and the columns of ``ingest_throughput`` in one row."""
-    lags = [
-        total_lag(log, committed, topic, group).select(F.col("lag").alias(f"{topic}_lag"))
-        for topic in SUMMARY_TOPICS
-    ]
-    return _one_row(
-        lags
-        + _throughput_parts(raw_orders, raw_payments, curated_orders, curated_payments, as_of, minutes)
-    )
+    recent = _recent(raw_orders, raw_payments, as_of, minutes)
+    return _one_row(_lags(log, committed, group) + recent + _totals(curated_orders, curated_payments))
+
+
+def kept_summary(
+    log: DataFrame, committed: DataFrame, raw_orders: DataFrame, raw_payments: DataFrame, totals: DataFrame,
+    as_of: datetime | str | None = None, group: str = SUMMARY_GROUP, minutes: int = THROUGHPUT_MINUTES,
+) -> DataFrame:
+    """``pipeline_summary`` with the totals that the promotion keeps."""
+    return _one_row(_lags(log, committed, group) + _recent(raw_orders, raw_payments, as_of, minutes) + _kept_totals(totals))

@@ -23,38 +23,48 @@ def _reject_reason() -> Column:
     )
 
 
+def judge(records: DataFrame) -> DataFrame:
+    """Records with their parsed ``content`` and the ``reason`` why they can't be landed, NULL where they can.
+
+    The parsed value passes through an ``explode`` of one element. Catalyst does not
+    move filters and projections across that, so each value is parsed once and not
+    once for the check and again for the landing.
+    """
+    parsed = records.withColumn("content", F.explode(F.array(F.try_parse_json("value"))))
+    return parsed.withColumn("reason", _reject_reason())
+
+
 def split_malformed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split records into landable ones, with their parsed ``content``, and a quarantine.
 
     Bad records never stop the pipeline: they are set aside whole, so the two
     frames together hold every input record. As with most JSON readers, text after a
     complete value does not make a record bad; it is ignored.
-
-    The parsed value passes through an ``explode`` of one element. Catalyst does not
-    move filters and projections across that, so each value is parsed once and not
-    once for the check and again for the landing.
     """
-    parsed = records.withColumn("content", F.explode(F.array(F.try_parse_json("value"))))
-    good = parsed.where(_reject_reason().isNull())
-    bad = parsed.withColumn("reason", _reject_reason()).where(F.col("reason").isNotNull())
-    return good, bad.select("topic", "partition", "offset", "value", "reason")
+    judged = judge(records)
+    bad = judged.where(F.col("reason").isNotNull())
+    return judged.where(F.col("reason").isNull()).drop("reason"), bad.select("topic", "partition", "offset", "value", "reason")
+
+
+def load_clock() -> Column:
+    """The current time (UTC). In a stream that is the time of the micro-batch, which a replayed batch keeps."""
+    return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
 
 
-def land_raw(records: DataFrame, load_time: Column | None = None) -> DataFrame:
-    """Records as RAW rows: metadata and content as VARIANT, plus the load time.
+def land_raw(records: DataFrame, load_time: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records as RAW rows: metadata and content as VARIANT, plus the load time, and the columns to ``keep`` as they are.
 
-    Uses the ``content`` that ``split_malformed`` has parsed, or parses the value.
-    Without ``load_time`` (or where it is NULL) rows get the current time. In a
-    stream that is the time of the micro-batch, which a replayed batch keeps.
+    Uses the ``content`` that ``judge`` has parsed, or parses the value.
+    Without ``load_time`` (or where it is NULL) rows get the current time.
     """
     content = F.col("content") if "content" in records.columns else F.try_parse_json("value")
-    now = F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
     return records.select(
         F.to_variant_object(
             F.struct("topic", "partition", "offset", "key", F.col("timestamp").alias("create_time"))
         ).alias("record_metadata"),
         content.alias("record_content"),
-        (now if load_time is None else F.coalesce(load_time, now)).alias("load_time"),
+        (load_clock() if load_time is None else F.coalesce(load_time, load_clock())).alias("load_time"),
+        *keep,
     )
 
 

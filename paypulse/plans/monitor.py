@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from paypulse.functions.time import as_utc, minutes_before
 from paypulse.operators import health, metrics
 from paypulse.plans.read_only_sql import DEFAULT_LIMIT, read_only_sql
 from paypulse.plans.views import register_views
-from paypulse.schemas import ORDERS, PAYMENTS
-from paypulse.sources.layers import read_curated, scan
+from paypulse.schemas import ORDERS, PAYMENTS, EventTable
+from paypulse.sources import batchlog
+from paypulse.sources.layers import (
+    ingested_path, read_curated, read_ingested, read_source_ends, read_totals, scan, scan_raw_since, totals_path,
+)
 from paypulse.streaming.promote import PROMOTE_GROUP
 
+#: The group under which the ingest's own progress counts.
+INGEST_GROUP = "ingest"
+
 
 class PaymentMonitor:
     """Queries on the layers below ``root``; every method returns a DataFrame.
@@ -41,14 +48,28 @@ class PaymentMonitor:
 
     @property
     def log(self) -> DataFrame:
-        """topic, partition, offset of every record taken from the topics, landed or rejected."""
-        landed = health.raw_log(self.raw_orders.unionByName(self.raw_payments))
-        rejected = scan(self.spark, self.root, "raw", "quarantine")
-        return landed.unionByName(rejected.select(*landed.columns))
+        """topic, partition, offset: the last record taken from each topic partition, landed or rejected, as the ingest has
+        noted it, and the last one of the topic itself where the source tells. Only layers that something else has
+        filled are scanned for every record."""
+        if not self._noted(ingested_path(self.root)):
+            landed = health.raw_log(self.raw_orders.unionByName(self.raw_payments))
+            rejected = scan(self.spark, self.root, "raw", "quarantine")
+            return landed.unionByName(rejected.select(*landed.columns))
+        taken = read_ingested(self.spark, self.root).select("topic", "partition", "end_offset")
+        ends = self.spark.createDataFrame(read_source_ends(self.spark, self.root), taken.schema)
+        return taken.unionByName(ends).select("topic", "partition", (F.col("end_offset") - 1).alias("offset"))
+
+    def _noted(self, path: str) -> bool:
+        return batchlog.last_complete_batch(self.spark, path) >= 0
 
     @property
     def committed(self) -> DataFrame:
-        return scan(self.spark, self.root, "curated", "committed_offsets")
+        """The commits of the promotion, and those of the ingest: how far it has landed or rejected the topics."""
+        commits = scan(self.spark, self.root, "curated", "committed_offsets")
+        taken = read_ingested(self.spark, self.root)
+        return commits.unionByName(taken.select(
+            F.lit(INGEST_GROUP).alias("group"), "topic", "partition", F.col("end_offset").alias("committed")
+        ))
 
     def run_sql(self, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
         register_views(
@@ -88,13 +109,20 @@ class PaymentMonitor:
     def total_lag(self, topic: str, group: str = PROMOTE_GROUP) -> DataFrame:
         return health.total_lag(self.log, self.committed, topic, group)
 
+    def _raw_since(self, table: EventTable, minutes: int) -> DataFrame:
+        day = minutes_before(as_utc(self.as_of), minutes).date()
+        return scan_raw_since(self.spark, self.root, table.raw_table, day)
+
     def ingest_throughput(self, minutes: int = health.THROUGHPUT_MINUTES) -> DataFrame:
-        return health.ingest_throughput(
-            self.raw_orders, self.raw_payments, self.orders, self.payments, self.as_of, minutes
-        )
+        raw = self._raw_since(ORDERS, minutes), self._raw_since(PAYMENTS, minutes)
+        if self._noted(totals_path(self.root)):
+            return health.kept_throughput(*raw, read_totals(self.spark, self.root), self.as_of, minutes)
+        return health.ingest_throughput(*raw, self.orders, self.payments, self.as_of, minutes)
 
     def pipeline_summary(self, group: str = PROMOTE_GROUP) -> DataFrame:
-        return health.pipeline_summary(
-            self.log, self.committed, self.raw_orders, self.raw_payments,
-            self.orders, self.payments, self.as_of, group,
-        )
+        minutes = health.THROUGHPUT_MINUTES
+        raw = self._raw_since(ORDERS, minutes), self._raw_since(PAYMENTS, minutes)
+        if self._noted(totals_path(self.root)):
+            totals = read_totals(self.spark, self.root)
+            return health.kept_summary(self.log, self.committed, *raw, totals, self.as_of, group)
+        return health.pipeline_summary(self.log, self.committed, *raw, self.orders, self.payments, self.as_of, group)
