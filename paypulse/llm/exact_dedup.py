@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paypulse.llm.shared import SPACE, cut, shuffle_partitions
+from paypulse.llm.shared import SPACE, cut, keep_rows, shuffle_partitions
 
 #: A shard of the merged filter holds about so many fingerprints at most.
 SHARD_ROWS = 1 << 20
@@ -175,6 +175,11 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has no equal one with a smaller doc_id, with all their columns."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    """One row of ``docs`` for each text, with all its columns: the one with the smallest doc_id.
+
+    A row without doc_id stays only where no row with one has the text. Of rows that repeat both id and text one stays. Ids that
+    rows with other texts share, null ones among them, are decided by row.
+    """
+    found = cut(exact_duplicates(docs).select("doc_id", "kept", "text_sha256"))
+    digest = F.sha2(normalised(F.col("text")), 256)
+    return keep_rows(docs, found.select("doc_id", "kept", F.col("text_sha256").alias("text_key")), lambda rows: rows.withColumn("__key", digest))

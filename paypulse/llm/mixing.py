@@ -140,18 +140,59 @@ def mix_sources(
     )
 
 
+def _numbered(rows: DataFrame, keys: tuple[str, ...], order: tuple[Column, ...], name: str) -> DataFrame:
+    """``rows``, cut, with a number from 1 among those with equal ``keys``. A key's rows are numbered where they are, from what
+    the tasks before hold of it, so that none has to fit into one task."""
+    rows = cut(rows.withColumn("__task", F.spark_partition_id()))
+    held = rows.groupBy(*keys, "__task").agg(F.count("*").alias("__held"))
+    earlier = Window.partitionBy(*keys).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("__earlier", F.coalesce(F.sum("__held").over(earlier), F.lit(0))).drop("__held")
+    held = held.withColumnsRenamed({k: f"__h_{k}" for k in (*keys, "__task")}).alias("h")
+    same = F.col("__task") == F.col("h.__h___task")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"h.__h_{k}"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__task").orderBy(*order))
+    return rows.withColumn("__own", own).join(held, same).withColumn(name, F.col("__own") + F.col("__earlier")).drop(
+        "__task", "__own", "__earlier", *(f"__h_{k}" for k in (*keys, "__task"))
+    )
+
+
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, as often as it takes them, in its order, with their columns."""
+    """The rows of ``docs`` that the mix takes, as often as it takes them, in its order, with their columns.
+
+    Rows that repeat an id, source and size are told apart by a number, so that together they are taken as often as
+    ``mix_sources`` says, and its budget holds.
+    """
+    keys = ("__doc_id", "__source", "__size")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    turns = mix_sources(docs, weights).where("copies > 0").groupBy("doc_id", "source", "size").agg(
-        F.max("copies").alias("copies"), F.min("first_finish").alias("finish"),
-        F.max(F.col("source_size") / F.col("target")).alias("round"),
-    )
-    turns = turns.withColumnsRenamed({c: f"__{c}" for c in turns.columns}).alias("t")
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("t.__doc_id")) & F.col("source").eqNullSafe(F.col("t.__source"))
-        & (size == F.col("t.__size"))
-    )
-    taken = docs.join(turns, same).withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    mixed = cut(mix_sources(docs, weights).select(
+        *(F.col(k.removeprefix("__")).alias(k) for k in keys), F.col("copies").alias("__copies"),
+        F.col("first_finish").alias("__finish"), (F.col("source_size") / F.col("target")).alias("__round"),
+    ))
+    repeated = cut(mixed.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1 and __size > 0").drop("__n"))
+    documents = docs.withColumn("__size_of", size)
+    renamed = {k: f"__m_{k}" for k in keys}
+
+    def same(to: str, extra: Column | None = None) -> Column:
+        pairs = zip(("doc_id", "source", "__size_of"), keys, strict=True)
+        found = [F.col(f"d.{a}").eqNullSafe(F.col(f"{to}{b}")) for a, b in pairs]
+        return found[0] & found[1] & found[2] if extra is None else found[0] & found[1] & found[2] & extra
+
+    taken = mixed.where("__copies > 0")
+    several = not repeated.isEmpty()
+    if several:
+        again = repeated.withColumnsRenamed(renamed).alias("r")
+        of_row = [F.col(f"m.{k}").eqNullSafe(F.col(f"r.__m_{k}")) for k in keys]
+        is_repeated = of_row[0] & of_row[1] & of_row[2]
+        taken = taken.alias("m").join(again, is_repeated, "left_anti")
+    out = documents.alias("d").join(taken.alias("t"), same("t."))
+    if several:
+        order = (F.col("__finish"), F.col("__copies"))
+        own = mixed.alias("m").join(again, is_repeated, "left_semi")
+        own = _numbered(own, keys, order, "__number").where("__copies > 0")
+        rows = documents.alias("d").join(repeated.alias("t"), same("t."), "left_semi")
+        rows = _numbered(rows, ("doc_id", "source", "__size_of"), (F.xxhash64("text"),), "__row")
+        out = out.unionByName(rows.alias("d").join(own.alias("t"), same("t.", F.col("d.__row") == F.col("t.__number"))).drop("__row", "__number"))
+    out = out.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     time = F.col("__finish") + F.col("__repeat") * F.col("__round")
-    return taken.orderBy(time, "__doc_id").select(*docs.columns)
+    return out.orderBy(time, "__doc_id").select(*docs.columns)

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from paypulse.llm.components import components
-from paypulse.llm.shared import cut, groups, rolling, shuffle_partitions, word_pieces
+from paypulse.llm.shared import cut, groups, keep_rows, rolling, shuffle_partitions, word_pieces
 
 SHINGLE = 5
 #: Unless another threshold is given. In hundredths: links have 100 * intersection >= threshold * union.
@@ -293,6 +293,16 @@ def near_duplicates(
     and get a null component unless they are linked with one. An empty table gives an empty result. Other columns are not
     read.
     """
+    found = _decided(docs, id_column, text_column, threshold)
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return found.select(
+        known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"),
+        (F.col("doc_id") == F.col("component_id")).alias("kept"),
+    )
+
+
+def _decided(docs: DataFrame, id_column: str, text_column: str, threshold: int) -> DataFrame:
+    """For each row its doc_id (``NO_ID`` for null), n, node, and of its component: component_id and the smallest node with it."""
     texts = docs.select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_column).alias("text")
     )
@@ -309,9 +319,7 @@ def near_duplicates(
     members = members.select("key", "node")
     star = members.join(hubs, "key").where("hub <> node").select("hub", "node").distinct()
 
-    ids = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    own_text = texts.join(ids, "doc_id").select("node", "text")
-    own_text = cut(own_text.mapInArrow(_matching, "node binary, text string"))
+    own_text = cut(_texts_of(members.select("node").distinct(), nodes, sets, texts))
     links = cut(_verified(_likely_pairs(star, nodes, threshold), own_text, threshold))
     linked = components(links)
     further = cut(_apart(members, linked, nodes, own_text, threshold))
@@ -321,26 +329,50 @@ def near_duplicates(
     grouped = nodes.select("node", "doc_id").join(linked, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(
-        grouped.join(least, "component").select("node", "component_id"), "node", "left"
-    )
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    found = found.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return found.select(
-        known("doc_id").alias("doc_id"), "n_shingles", known("component_id").alias("component_id"),
-        (F.col("doc_id") == F.col("component_id")).alias("kept"),
+    least = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    of_node = grouped.join(least, "component").select(
+        "node", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("first_node")
     )
+    found = sets.select("doc_id", "n", "node").join(of_node, "node", "left")
+    return found.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
-def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows (node, text) those whose set is the node's: rows that repeat an id may hold other texts."""
-    for batch in batches:
-        own = [_digest(x) == node for x, node in zip(shingle_sets(batch.column(1)), batch.column(0).to_pylist(), strict=True)]
-        yield batch.filter(pa.array(own, pa.bool_()))
+def _texts_of(wanted: DataFrame, nodes: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) for each of the ``wanted`` nodes: a text whose set is the node's.
+
+    An id that one row has finds its text. Rows that share an id, those without one among them, are found by their sets, and
+    only one text of each set goes on.
+    """
+    ids = cut(wanted.join(nodes.select("node", "doc_id"), "node"))
+    shared = cut(sets.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    found = texts.join(ids.join(shared, "doc_id", "left_anti"), "doc_id").select("node", "text")
+    if shared.isEmpty():
+        return found
+    by_set = _with_node(texts.join(shared, "doc_id", "left_semi").select("text")).where("__key is not null")
+    by_set = by_set.groupBy(F.col("__key").alias("node")).agg(F.first("text").alias("text"))
+    return found.unionByName(by_set.join(ids.join(shared, "doc_id", "left_semi").select("node"), "node", "left_semi"))
+
+
+def _with_node(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__key``: the digest of their shingle set, null for an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_digest(x) if len(x) else None for x in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "__key"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__key", T.BinaryType())]))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that no row with a smaller doc_id is linked with, over any links, with all their columns."""
-    kept = near_duplicates(docs, threshold=threshold).where("kept").select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    """One row of ``docs`` for each group that links connect, with all its columns: the one with the smallest doc_id.
+
+    Texts without words are linked with nothing and stay. Rows without doc_id come after all others. Where rows of one
+    group share its smallest id, or have none, one of them stays. Ids that several rows have are decided by row.
+    """
+    found = cut(_decided(docs, "doc_id", "text", threshold))
+    first = (F.col("doc_id") == F.col("component_id")) & F.coalesce(F.col("node") == F.col("first_node"), F.lit(True))
+    decided = found.select(
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), first.alias("kept"), F.col("node").alias("text_key")
+    )
+    return keep_rows(docs, decided, _with_node)

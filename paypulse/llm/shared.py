@@ -5,14 +5,14 @@ from __future__ import annotations
 import functools
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import paypulse
 from paypulse.session import shared_dir
@@ -86,6 +86,28 @@ def join_sized(rows: DataFrame, sized: DataFrame, on: list[str], size: str, tota
     return met.where("__heavy").drop("__heavy").unionByName(light)
 
 
+def keep_rows(docs: DataFrame, decided: DataFrame, add_key: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, kept, text_key; a row for each of ``docs``, cut) keeps, one of each (doc_id, text_key).
+
+    Where an id has one row, the id decides. Rows whose id is null or repeated are decided by id and text: ``add_key`` adds the
+    column ``__key`` that equals their text_key; a null key is a text that every row keeps. Few rows are expected to
+    need that, and tables without any are read once. Rows that repeat both are reduced before they are shuffled.
+    """
+    times = cut(decided.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
+    shared = times.where("doc_id is null or n > 1")
+    alone = docs.join(times.where("doc_id is not null and n = 1 and kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if shared.isEmpty():
+        return alone
+    rows = docs.where("doc_id is null").unionByName(docs.join(shared.select("doc_id"), "doc_id", "left_semi").select(*docs.columns))
+    keys = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__kept_key")).distinct()
+    rows = add_key(rows)
+    unknown = rows.where(F.col("__key").isNull())
+    first = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.xxhash64(*docs.columns)))
+    rows = rows.where(F.col("__key").isNotNull()).withColumn("__first", first).where("__first = 1")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept_key"))
+    return alone.unionByName(rows.join(keys, same, "left_semi").select(*docs.columns)).unionByName(unknown.select(*docs.columns))
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of equal values of the first ``keys`` columns, with the rows' other columns; a run has to fit into memory."""
     key, held = None, []
