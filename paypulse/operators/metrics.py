@@ -91,9 +91,21 @@ def _since(rows: DataFrame, start: datetime) -> DataFrame:
 
 
 def _newest(metric: DataFrame, cap: int | None) -> DataFrame:
-    """Newest minutes first; all of them unless ``cap`` asks for the newest ones only."""
-    metric = metric.orderBy(F.desc("minute"))
-    return metric if cap is None else metric.limit(int(cap))
+    """Newest minutes first; all of them unless ``cap`` asks for the newest ones only.
+
+    A window has few minutes: the task that ends the aggregation sorts them, which takes no exchange of its own.
+    """
+    if cap is not None:
+        return metric.orderBy(F.desc("minute")).limit(int(cap))
+    return metric.coalesce(1).sortWithinPartitions(F.desc("minute"))
+
+
+def last_minutes(
+    per_minute: DataFrame, as_of: datetime | str | None, minutes: int, cap: int | None = None
+) -> DataFrame:
+    """The rows of a metric by minute from ``minutes`` before ``as_of`` on, newest first; ``cap`` keeps the newest ones."""
+    start = bucket_ceil(minutes_before(as_utc(as_of), minutes))
+    return _newest(per_minute.where(F.col("minute") >= ntz(start)), cap)
 
 
 def revenue_last_minutes(
@@ -146,11 +158,19 @@ def revenue_anomaly(
     change is computed from the unrounded means.
     """
     as_of = as_utc(as_of)
-    recent_start = minutes_before(as_of, lookback_minutes)
+    baseline_start = minutes_before(minutes_before(as_of, lookback_minutes), baseline_minutes)
+    return anomaly_of(revenue_per_minute(_since(payments, baseline_start)), as_of, lookback_minutes, baseline_minutes)
+
+
+def anomaly_of(
+    per_minute: DataFrame, as_of: datetime | str | None = None, lookback_minutes: int = LOOKBACK_MINUTES,
+    baseline_minutes: int = BASELINE_MINUTES,
+) -> DataFrame:
+    """``revenue_anomaly`` of revenue by minute, which may reach further back."""
+    recent_start = minutes_before(as_utc(as_of), lookback_minutes)
     baseline_start = minutes_before(recent_start, baseline_minutes)
-    per_minute = revenue_per_minute(_since(payments, baseline_start))
     is_recent = F.col("minute") >= ntz(recent_start)
-    means = per_minute.agg(
+    means = per_minute.where(F.col("minute") >= ntz(bucket_ceil(baseline_start))).agg(
         F.avg(F.when(is_recent, F.col("revenue"))).alias("recent"),
         F.avg(F.when(~is_recent, F.col("revenue"))).alias("baseline"),
     )

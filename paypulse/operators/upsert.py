@@ -15,13 +15,19 @@ def _no_key(keys: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
+def _own_number(keys: list[str]) -> Column:
+    """NULL for a row with a key, and a number of its own for one without: as a further key it keeps rows without a key apart
+    from each other, and deals them over all partitions instead of one."""
+    return F.when(_no_key(keys), F.monotonically_increasing_id())
+
+
 def latest_by_key(
     rows: DataFrame, keys: str | list[str], order_col: str = "load_time", seq_col: str | None = None
 ) -> DataFrame:
     """The row with the highest ``order_col`` per key; on a tie the highest ``seq_col``.
 
-    Rows with a NULL key never equal another row, so each of them is kept. They
-    bypass the shuffle: all would hash to one partition.
+    Rows with a NULL key never equal another row, so each of them is kept, in the same pass: ``_own_number`` makes
+    each a group of its own.
 
     ``row_number() = 1`` makes Spark put a group limit of one row per key in front
     of the shuffle, so a hot key sends one row per input task, and unlike a
@@ -31,9 +37,8 @@ def latest_by_key(
     order = [F.col(order_col).desc_nulls_last()]
     if seq_col:
         order.append(F.col(seq_col).desc_nulls_last())
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    keyed = rows.where(_has_key(keys)).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return keyed.unionByName(rows.where(_no_key(keys)))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_own").orderBy(*order))
+    return rows.withColumn("_own", _own_number(keys)).withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_own")
 
 
 def is_newer(
@@ -72,22 +77,17 @@ def upsert_latest(
     ``seq_col`` is newer; then the result doesn't depend on how rows were cut into batches.
     The source is reduced to one row per key first. A NULL ``order_col`` on either
     side compares as unknown, so the target row stays. Rows with a NULL key match
-    nothing and are carried over from both sides without being shuffled.
+    nothing and are carried over from both sides; both sides are read once.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     columns = target.columns
     wanted = columns + ([seq_col] if seq_col and seq_col not in columns else [])
     fresh = latest_by_key(source.select(*wanted), keys, order_col, seq_col).select(*columns)
 
-    t = target.where(_has_key(keys)).withColumn("_in_target", F.lit(True)).alias("t")
-    s = fresh.where(_has_key(keys)).withColumn("_in_source", F.lit(True)).alias("s")
+    t = target.withColumn("_in_target", F.lit(True)).withColumn("_own", _own_number(keys)).alias("t")
+    s = fresh.withColumn("_in_source", F.lit(True)).withColumn("_own", _own_number(keys)).alias("s")
     same_key = reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys])
     newer = is_newer("s", "t", order_col, seq_col if seq_col in columns else None)
     take_source = F.col("_in_target").isNull() | (F.col("_in_source").isNotNull() & newer)
-    merged = t.join(s, same_key, "full_outer").select(
-        *[F.when(take_source, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns]
-    )
-    return (
-        merged.unionByName(target.where(_no_key(keys)))
-        .unionByName(fresh.where(_no_key(keys)))
-    )
+    merged = t.join(s, same_key & F.col("t._own").eqNullSafe(F.col("s._own")), "full_outer")
+    return merged.select(*[F.when(take_source, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns])
