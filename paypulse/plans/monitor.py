@@ -15,16 +15,19 @@ from paypulse.sources import batchlog
 from paypulse.sources.layers import (
     ingested_path, read_curated, read_ingested, read_source_ends, read_totals, scan, scan_raw_since, totals_path,
 )
+from paypulse.streaming.incremental import METRICS, served_minutes
 from paypulse.streaming.promote import PROMOTE_GROUP
 
 #: The group under which the ingest's own progress counts.
 INGEST_GROUP = "ingest"
+METRIC_COLUMNS = {name: ("minute", *columns) for name, (_, columns) in METRICS.items()}
 
 
 class PaymentMonitor:
     """Queries on the layers below ``root``; every method returns a DataFrame.
 
-    ``as_of`` fixes the time the windows end at; by default they end now.
+    Metrics come from the stored minutes, and health from what ingest and promotion have noted; the tables themselves are
+    read only where layers lack those. ``as_of`` fixes the time the windows end at; by default they end now.
     """
 
     def __init__(self, spark: SparkSession, root: str, as_of: datetime | str | None = None):
@@ -78,27 +81,42 @@ class PaymentMonitor:
         )
         return read_only_sql(self.spark, query, limit)
 
+    def _minutes(self, stored: str) -> DataFrame | None:
+        return served_minutes(self.spark, self.root, stored)
+
     def revenue_last_minutes(
         self, minutes: int = metrics.REVENUE_MINUTES, cap: int | None = None
     ) -> DataFrame:
-        return metrics.revenue_last_minutes(self.payments, self.as_of, minutes, cap)
+        stored = self._minutes("payment_minutes")
+        if stored is None:
+            return metrics.revenue_last_minutes(self.payments, self.as_of, minutes, cap)
+        return metrics.last_minutes(stored.select(*METRIC_COLUMNS["revenue_per_minute"]), self.as_of, minutes, cap)
 
     def revenue_anomaly(
         self,
         lookback_minutes: int = metrics.LOOKBACK_MINUTES,
         baseline_minutes: int = metrics.BASELINE_MINUTES,
     ) -> DataFrame:
-        return metrics.revenue_anomaly(self.payments, self.as_of, lookback_minutes, baseline_minutes)
+        stored = self._minutes("payment_minutes")
+        if stored is None:
+            return metrics.revenue_anomaly(self.payments, self.as_of, lookback_minutes, baseline_minutes)
+        return metrics.anomaly_of(stored, self.as_of, lookback_minutes, baseline_minutes)
 
     def payment_failure_rate(
         self, minutes: int = metrics.RATE_MINUTES, cap: int | None = None
     ) -> DataFrame:
-        return metrics.payment_failure_rate_last(self.payments, self.as_of, minutes, cap)
+        stored = self._minutes("payment_minutes")
+        if stored is None:
+            return metrics.payment_failure_rate_last(self.payments, self.as_of, minutes, cap)
+        return metrics.last_minutes(stored.select(*METRIC_COLUMNS["payment_failure_rate"]), self.as_of, minutes, cap)
 
     def order_conversion_rate(
         self, minutes: int = metrics.RATE_MINUTES, cap: int | None = None
     ) -> DataFrame:
-        return metrics.order_conversion_last(self.orders, self.payments, self.as_of, minutes, cap)
+        stored = self._minutes("order_minutes")
+        if stored is None:
+            return metrics.order_conversion_last(self.orders, self.payments, self.as_of, minutes, cap)
+        return metrics.last_minutes(stored.select(*METRIC_COLUMNS["order_conversion"]), self.as_of, minutes, cap)
 
     def end_offsets(self, topic: str) -> DataFrame:
         return health.end_offsets(self.log, topic)

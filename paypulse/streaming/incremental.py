@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paypulse.functions.ratio import safe_pct
 from paypulse.functions.time import bucket_start
-from paypulse.operators.metrics import RATE_DIGITS, payment_minutes
+from paypulse.operators.metrics import RATE_DIGITS, order_conversion, payment_minutes
 from paypulse.schemas import MINUTES, ORDERS, PAID, PAYMENTS, EventTable
 from paypulse.sources import batchlog, keyed
 from paypulse.sources.layers import (
-    change_schema, curated_path, curated_table, layer_path, paid_orders_table, read_curated, read_minutes,
+    change_schema, committed_batch, curated_path, curated_table, layer_path, paid_orders_table, read_curated, read_minutes,
 )
 
 #: Ranges of days in a filter.
@@ -186,3 +186,35 @@ def read_metric(spark: SparkSession, root: str, metric: str) -> DataFrame:
     """The stored metric as of the last promoted batch."""
     stored, names = METRICS[metric]
     return read_minutes(spark, root, stored).select("minute", *names)
+
+
+def served_minutes(spark: SparkSession, root: str, stored: str) -> DataFrame | None:
+    """The per-minute values as of the last committed batch, from the stored ones.
+
+    Where batches were promoted without metrics, the minutes that those have touched are computed from the CURATED tables, and
+    only those. ``None`` if nothing is stored, or if the tables have merged such batches, so that what they touched is lost.
+    """
+    committed = committed_batch(spark, root)
+    kept = min(committed, batchlog.last_complete_batch(spark, layer_path(root, "analytics", stored)))
+    if kept < 0:
+        return None
+    if kept == committed:
+        return read_minutes(spark, root, stored, committed)
+    if any(batchlog.manifest_of(spark, curated_path(root, t)).merged > kept for t in (ORDERS, PAYMENTS)):
+        return None
+    orders, payments = (read_curated(spark, root, t, committed) for t in (ORDERS, PAYMENTS))
+    paid_for = batchlog.read_batches(spark, curated_path(root, PAYMENTS), change_schema(PAYMENTS), kept, committed)
+    if stored == "payment_minutes":
+        touched = _touched_minutes(paid_for)
+        fresh = payment_minutes(_in_minutes(payments, touched))
+    else:
+        made = batchlog.read_batches(spark, curated_path(root, ORDERS), change_schema(ORDERS), kept, committed)
+        ids = paid_for.select("order_id").unionByName(paid_for.select("before.order_id")).where("order_id is not null").distinct()
+        named = keyed.lookup(spark, curated_table(root, ORDERS), ids, committed)
+        touched = _touched_minutes(made).unionByName(named.select(bucket_start(F.col("event_ts")).alias("minute"))).distinct()
+        fresh = order_conversion(_in_minutes(orders, touched).select("event_ts", "order_id"), payments, few_orders=True)
+    names = MINUTES[stored].names
+    settled = read_minutes(spark, root, stored, kept).alias("s").join(
+        touched.alias("t"), F.col("s.minute").eqNullSafe(F.col("t.minute")), "left_anti"
+    )
+    return settled.select(*names).unionByName(fresh.select(*names))
