@@ -106,7 +106,7 @@ def lookup(spark: SparkSession, table: KeyedTable, keys: DataFrame, upto: int) -
     """
     manifest, columns = batchlog.manifest_of(spark, table.path), table.index_columns
     frames = [_changes(spark, table, manifest.merged, upto).select(*columns, "at")]
-    wanted = keys.select(table.key).distinct()
+    wanted = keys.select(table.key)
     touched = _touched(wanted, table.key) if any(run.buckets > 1 for run in manifest.folders) else None
     for run in manifest.folders:
         found = _index(spark, table, run, touched)

@@ -133,7 +133,8 @@ def _update_conversion(
         F.col("before.event_ts").alias("old_ts"),
     )
     touched = changed.join(steps, "order_id", "full_outer").persist()
-    others = touched.where("changed is null").select("order_id").persist()
+    others = touched.where("changed is null").select("order_id")
+    frames = [touched]
     try:
         touched.count()
         was_paid = keyed.lookup(spark, paid_orders, touched, batch_id - 1).withColumnRenamed("paid", "was")
@@ -141,7 +142,8 @@ def _update_conversion(
             "order_id", F.lit(True).alias("found"), F.col("event_ts").alias("its_ts")
         )
         state = touched.join(was_paid, "order_id", "left").join(made, "order_id", "left")
-        state = state.withColumn("step", F.coalesce("step", F.lit(0))).withColumn("now", F.coalesce("was", F.lit(0)) + F.col("step"))
+        state = state.withColumn("step", F.coalesce("step", F.lit(0))).withColumn("now", F.coalesce("was", F.lit(0)) + F.col("step")).persist()
+        frames.append(state)
         paid = state.where("step <> 0").select(
             "order_id", F.col("now").alias("paid"), F.when(F.col("was").isNotNull(), F.struct(F.col("was").alias("paid"))).alias("before")
         )
@@ -159,7 +161,7 @@ def _update_conversion(
         )
         _store_conversion(spark, root, batch_id, new.unionByName(old).unionByName(keyless))
     finally:
-        for frame in (touched, others):
+        for frame in frames:
             frame.unpersist()
 
 
