@@ -156,3 +156,59 @@ def test_digests(spark):
     frame = spark.createDataFrame([([("hex", 1, 30), ("random", 2, 3)],), ([],)], schema)
     rows = frame.select(spans.joined(F.col("spans")).alias("j"), spans.count(F.col("spans"), "hex").alias("n")).collect()
     assert [(r.j, r.n) for r in rows] == [("hex:1:30,random:2:3", 1), ("", 0)]
+
+
+def test_generated_keys_are_found_at_any_length(make_docs):
+    """Recall on keys of other seeds than the calibration's, by alphabet and length."""
+    rng = np.random.default_rng(5)
+    rows, wanted = [], []
+    for name, alphabet in secrets.ALPHABETS.items():
+        for length in (16, 20, 22, 27, 32, 44, 64):
+            for _ in range(60):
+                key = "".join(rng.choice(list(alphabet), length))
+                rows.append((len(rows), f"é key: {key}, end"))
+                wanted.append((name, length))
+    got = found(secrets.find_secrets(make_docs(rows), VOCABULARY))
+    hits = {}
+    for k, (name, length) in enumerate(wanted):
+        hits.setdefault((name, length), []).append(("random", 7, 7 + length) in got[k])
+    assert all(np.mean(v) >= 0.8 for v in hits.values())
+    for name in secrets.ALPHABETS:
+        assert np.mean([h for (a, length), v in hits.items() for h in v if a == name and length >= 20]) >= 0.95
+
+
+def test_keys_in_assignments_are_found_by_both(make_docs):
+    text = 'api_key="sk9fQ2xLr7VbT0pZ8aWm3K" token: some_plain_words_here'
+    assert found(secrets.find_secrets(make_docs([(1, text)]), VOCABULARY))[1] == [("assign", 0, 31), ("random", 9, 31), ("assign", 33, 61)]
+
+
+def test_names_of_many_kinds_are_let_alone(make_docs):
+    names = """getElementsByTagName my_variable_name_2 application/x-www-form-urlencoded 2024-01-02T10-00-00 HTTPRequestHandlerV2
+      AbstractSingletonProxyFactoryBean test_case_0012_final x86_64-linux-gnu-gcc com/example/project/Main THIS_IS_A_CONSTANT_42
+      isbn-978-3-16-148410-0 v2-beta1-rc3-build77 docs/2023/11/report-v2 d41d8cd98f00b204e9800998ecf8427e""".split()
+    got = found(secrets.find_secrets(make_docs([(k, f"a {n} b") for k, n in enumerate(names)]), VOCABULARY))
+    assert [names[k] for k, spans_of in got.items() if any(s[0] == "random" for s in spans_of)] == []
+
+
+def test_no_random_strings_in_given_prose(sample_texts):
+    tokens, limit = secrets._scales(VOCABULARY)
+    outside = [
+        s for _, t in sample_texts for s in secrets.random_spans(t, tokens, limit)
+        if not any(a < s[2] and s[1] < b for _, a, b in secrets.base_spans(t))
+    ]
+    assert outside == []
+
+
+def test_registered_secret_scan_against_plain_patterns(spark, sample_texts):
+    import hashlib
+
+    from paypulse.llm.queries import op2_secret_scan
+
+    got = {r.doc_id: r for r in op2_secret_scan(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(sample_texts)
+    for doc_id, text in sample_texts:
+        base = plain_secrets(text or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert got[doc_id].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[doc_id][f"n_{k}"] for k in secrets.BASE_KINDS] == [sum(s[0] == k for s in base) for k in secrets.BASE_KINDS]
+        assert [x for x in got[doc_id].spans.split(",") if x and not x.startswith("random")] == [x for x in joined.split(",") if x]
