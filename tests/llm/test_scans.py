@@ -212,3 +212,42 @@ def test_registered_secret_scan_against_plain_patterns(spark, sample_texts):
         assert got[doc_id].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [got[doc_id][f"n_{k}"] for k in secrets.BASE_KINDS] == [sum(s[0] == k for s in base) for k in secrets.BASE_KINDS]
         assert [x for x in got[doc_id].spans.split(",") if x and not x.startswith("random")] == [x for x in joined.split(",") if x]
+
+
+PLANTED = {
+    "contact": "write to jane.doe (at) example.org please", "mixed": "pay to DE89 3704 0044 0532 0130 00 soon", "digits": "card 4111.1111.1111.1111 here",
+    "dotted": "device 3c:22:fb:9a:01:7e is on",
+}
+
+
+def test_every_generator_selects_where_positives_are_few(make_docs):
+    """On the given texts, whose own free candidates hold no personal data, the planted forms are found, and nothing else."""
+    import duckdb
+
+    texts = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
+    planted = [(10**6 + j, t) for j, t in enumerate(PLANTED.values())]
+    got = found(pii.find_personal_data(make_docs(texts + planted)))
+    assert [s for i, _ in texts for s in got[i] if s[0] in pii.GENERATORS] == []
+    for j, (kind, text) in enumerate(PLANTED.items()):
+        assert [s[0] for s in got[10**6 + j] if s[0] not in pii.BASE_KINDS] == [kind], text
+
+
+def test_thresholds_are_defined_whatever_is_found():
+    scores, kinds = np.array([0.9, 0.8, 0.3, 0.2]), np.array([0.0, 0.0, 1.0, 1.0])
+    few = pii.calibrate(scores, np.array([1, 0, 0, 0]), kinds)
+    assert (few > 0.8).all() and (few < 0.81).all()
+    many = np.concatenate([np.full(20, 0.7), np.full(20, 0.1)])
+    assert (pii.calibrate(many, (many > 0.5).astype(int), np.zeros(40)) == 0.7).all()
+
+
+def test_registered_personal_data_scan_against_plain_patterns(spark, sample_texts):
+    import hashlib
+
+    from paypulse.llm.queries import op3_personal_data
+
+    got = {r.doc_id: r for r in op3_personal_data(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(sample_texts)
+    for doc_id, text in sample_texts:
+        base = plain_pii(text or "")
+        assert got[doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [got[doc_id][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[0] == k for s in base) for k in pii.BASE_KINDS]
