@@ -12,6 +12,7 @@ from paypulse.operators.unpack import unpack
 from paypulse.operators.upsert import is_newer, latest_by_key
 from paypulse.schemas import ORDERS, PAYMENTS, TABLES, TOTALS, EventTable
 from paypulse.sources import batchlog, keyed
+from paypulse.sources.catalog import publish_views
 from paypulse.sources.layers import (
     curated_path, curated_table, layer_path, maintain, new_rows, offsets_path, read_totals, totals_path,
 )
@@ -83,6 +84,7 @@ def start_promote(
     *,
     with_metrics: bool = True,
     compact_every: int | None = COMPACT_EVERY,
+    catalog: bool = False,
     **source_options: str,
 ) -> StreamingQuery:
     """Promote new RAW rows: orders first, then payments, then the metrics they touch.
@@ -92,7 +94,7 @@ def start_promote(
     the same result. Keep the checkpoint with the tables: batch numbers come from it.
     The keyed tables are merged in tiers as they grow. ``compact_every`` folds the small logs after that many batches,
     an hour's by default, and removes what no reader can need any more; with ``None`` nothing is merged or removed, which
-    leaves all that to the caller.
+    leaves all that to the caller. ``catalog`` replaces the views of the session catalog after each batch.
     """
     feeds = [
         unpack(
@@ -114,6 +116,8 @@ def start_promote(
             _write_commits(batch, root, batch_id)
             if compact_every:
                 maintain(session, root, small=(batch_id + 1) % compact_every == 0)
+            if catalog:
+                publish_views(session, root)
         finally:
             batch.unpersist()
 
