@@ -34,6 +34,8 @@ WORD_TEXTS = 2
 #: Words of a window, and how many neutral words are added to its distinct ones.
 WINDOW, NEUTRAL = 32, 24
 EPOCHS, RATE, DECAY = 40, 0.05, 1e-3
+#: N-grams of a very long word that are held at a time.
+GRAM_BLOCK = 1 << 16
 #: Scores are kept for so many words of a worker; beyond that the memory is cleared and filled anew.
 CACHED_WORDS = 1 << 19
 #: Rows with this remainder are never learnt from.
@@ -50,8 +52,19 @@ class Model(NamedTuple):
     rows: int = 0
 
 
-def buckets(word: bytes) -> list[int]:
-    """Buckets of a word's n-grams, bounds included, and of the word."""
+def bucket_blocks(word: bytes) -> Iterator[list[int]]:
+    """Buckets of a word's n-grams, bounds included, and of the word, at most ``GRAM_BLOCK`` at a time."""
+    bounded = b"<" + word + b">"
+    yield [zlib.crc32(bounded) % BUCKETS]
+    for n in GRAMS:
+        end = len(bounded) - n + 1
+        for at in range(0, end, GRAM_BLOCK):
+            yield [zlib.crc32(bounded[i : i + n], n) % BUCKETS for i in range(at, min(at + GRAM_BLOCK, end))]
+
+
+def buckets(word: bytes) -> np.ndarray | list[int]:
+    if len(word) >= GRAM_BLOCK:
+        return np.concatenate([np.array(block, np.int32) for block in bucket_blocks(word)])
     bounded = b"<" + word + b">"
     out = [zlib.crc32(bounded) % BUCKETS]
     for n in GRAMS:
@@ -170,7 +183,11 @@ class _WordScores(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        out = float(self.weights[buckets(word)].mean())
+        if len(word) < GRAM_BLOCK:
+            out = float(self.weights[buckets(word)].mean())
+        else:  # a text without blanks, which is summed in parts
+            sums = [(float(self.weights[block].sum()), len(block)) for block in bucket_blocks(word)]
+            out = sum(s for s, _ in sums) / sum(n for _, n in sums)
         if len(word) <= 48:
             if len(self) >= CACHED_WORDS:
                 self.clear()

@@ -95,3 +95,24 @@ def test_texts_beyond_the_sample_are_left_out(spark, make_docs, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 90_000)
     labels = spark.createDataFrame([(k, y) for k, _, y in usable], "doc_id long, toxic int")
     assert toxicity.train_on(make_docs(texts), labels).rows == len(usable) - 1
+
+
+def test_very_long_words_are_scored_in_parts(monkeypatch):
+    """A text without blanks: the same score whatever is held at a time, and no list of all its n-grams."""
+    import tracemalloc
+
+    import numpy as np
+
+    from paypulse.llm import toxicity
+
+    weights = np.random.default_rng(3).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    word = ("abcdefgh你好" * 9000)[:60_000]
+    whole = float(weights[toxicity.buckets(word.encode())].mean())
+    monkeypatch.setattr(toxicity, "GRAM_BLOCK", 1000)
+    assert list(toxicity.buckets(b"abc" * 700)) == [b for block in toxicity.bucket_blocks(b"abc" * 700) for b in block]
+    assert abs(toxicity._WordScores(weights)[word.encode()] - whole) < 1e-4
+    monkeypatch.undo()
+    tracemalloc.start()
+    toxicity._WordScores(weights)[b"x7" * 1_000_000]
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
