@@ -7,12 +7,16 @@ have: addresses with (at), hardware and IPv6 addresses, numbers with the checksu
 telephone numbers with 00 or after a cue. Matches rewritten in all these forms are learnt from too. Thresholds look at what no
 fixed format touches in the texts as they are, as only that can be selected; a generator that finds too little of it there is
 calibrated on rewritten matches as well.
+
+All candidates of all texts are learnt from. Features are small integers, so equal candidates are counted as one, and the table of
+them stays with the executors: each level of a tree takes one pass over it that returns sums by node, feature and bin.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,15 +24,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from paypulse.llm.shared import cut
 from paypulse.llm.spans import Span, find_spans, in_order
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 GENERATORS = ("contact", "dotted", "digits", "mixed")
 KINDS = (*BASE_KINDS, *GENERATORS)
-#: Trees are trained on the candidates of at most so many documents, those with the smallest hashes of their ids; and on so
-#: many candidates of them, again by hash.
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 30_000, 30_000
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
+#: Sums are of multiples of 1 / ``UNIT``, exact in any order; margins are rounded to 1 / ``STEP``, so that only so many scores exist.
+UNIT, STEP = 1 << 24, 1024
+#: One in so many candidates is held back from training, for the thresholds.
+HELD = 4
+#: Rows of a block of the table that trees are fitted to.
+BLOCK_ROWS = 65_536
 #: A threshold is the lowest score from which on at least this share of the calibration candidates, none of which touches a
 #: fixed format, is personal data; it takes so many of these to set one.
 PRECISION, FEWEST = 0.98, 5
@@ -238,61 +246,112 @@ class Trees(NamedTuple):
                 node = (1 << level) - 1 + place
                 place = 2 * place + (x[np.arange(len(x)), feature[node]] > cut[node])
             out += value[place]
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(np.rint(out * STEP) / STEP, -30, 30)))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Gradient boosting of logistic loss with histograms of quantile bins."""
-    cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(cuts)], axis=1)
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    prior = float(np.log(share / (1 - share)))
-    out, nodes = np.full(len(x), prior), (1 << DEPTH) - 1
-    feature, cut, value = (np.zeros((TREES, n)) for n in (nodes, nodes, nodes + 1))
+class Block(NamedTuple):
+    """Bins of candidates, a row for each feature; their labels, and how many candidates each one stands for."""
+
+    bins: np.ndarray
+    y: np.ndarray
+    n: np.ndarray
+
+
+#: Sums of gradients and of weights by node of the level, feature and bin, given the trees so far and the levels above.
+Sums = Callable[[Trees, int, int], np.ndarray]
+
+
+def _place(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """The node of a level that each candidate is led to; cuts are bins here."""
+    place = np.zeros(bins.shape[1], np.int64)
+    for level in range(levels):
+        node, right = (1 << level) - 1, np.zeros(bins.shape[1], bool)
+        for k in range(1 << level):
+            right |= (place == k) & (bins[feature[node + k]] > cut[node + k])
+        place = 2 * place + right
+    return place
+
+
+def level_sums(block: Block, trees: Trees, tree: int, level: int) -> np.ndarray:
+    """(2, nodes, features, ``BINS``) in units of 1 / ``UNIT``: gradients and weights of logistic loss."""
+    out = np.full(len(block.y), trees.prior)
+    for t in range(tree):
+        out += trees.value[t][_place(block.bins, trees.feature[t], trees.cut[t], DEPTH)]
+    p = 1 / (1 + np.exp(-out))
+    parts = [np.rint(v * UNIT) * block.n for v in (block.y - p, p * (1 - p) + 1e-6)]
+    place, width = _place(block.bins, trees.feature[tree], trees.cut[tree], level) * BINS, 1 << level
+    sums = [[np.bincount(place + bins, part, width * BINS) for bins in block.bins] for part in parts]
+    return np.array(sums).astype(np.int64).reshape(2, len(block.bins), width, BINS).swapaxes(1, 2)
+
+
+def _boost(cuts: list[np.ndarray], share: float, sums: Sums) -> Trees:
+    """Gradient boosting of logistic loss with histograms; the trees' cuts are values again."""
+    share, nodes = np.clip(share, 1e-3, 1 - 1e-3), (1 << DEPTH) - 1
+    feature, value = np.zeros((TREES, nodes), np.int64), np.zeros((TREES, nodes + 1))
+    trees = Trees(feature, np.full((TREES, nodes), BINS), value, float(np.log(share / (1 - share))))
     for tree in range(TREES):
-        p = 1 / (1 + np.exp(-out))
-        grad, weight, place = y - p, p * (1 - p) + 1e-6, np.zeros(len(x), np.int64)
         for level in range(DEPTH):
-            width, best = 1 << level, np.full((1 << level, 3), (0.0, 0.0, np.inf))
+            width, node = 1 << level, (1 << level) - 1
+            g, h = (v.cumsum(axis=2) for v in sums(trees, tree, level) / UNIT)
+            best, leaves = np.zeros(width), np.stack([g[:, 0, -1], h[:, 0, -1], np.zeros(width), np.zeros(width)], axis=1)
             for k, edges in enumerate(cuts):
-                cells = place * BINS + binned[:, k]
-                g = np.bincount(cells, grad, width * BINS).reshape(width, BINS).cumsum(axis=1)
-                h = np.bincount(cells, weight, width * BINS).reshape(width, BINS).cumsum(axis=1)
-                left = g[:, :-1] ** 2 / (h[:, :-1] + 1)
-                right = (g[:, -1:] - g[:, :-1]) ** 2 / (h[:, -1:] - h[:, :-1] + 1)
-                gain = (left + right - g[:, -1:] ** 2 / (h[:, -1:] + 1))[:, : len(edges)]
-                if not gain.shape[1]:
+                if not len(edges):
                     continue
-                at = gain.argmax(axis=1)
-                better = gain[np.arange(width), at] > best[:, 0] + 1e-9
-                best[better] = np.stack([gain[np.arange(width), at], np.full(width, k), edges[at]], axis=1)[better]
-            node = (1 << level) - 1
-            feature[tree, node : node + width], cut[tree, node : node + width] = best[:, 1], best[:, 2]
-            place = 2 * place + (x[np.arange(len(x)), best[place, 1].astype(int)] > best[place, 2])
-        leaf_g, leaf_h = (np.bincount(place, v, nodes + 1) for v in (grad, weight))
-        value[tree] = RATE * leaf_g / (leaf_h + 1)
-        out += value[tree][place]
-    return Trees(feature.astype(np.int64), cut, value, prior)
-
-
-def _lowest_precise(scores: np.ndarray, y: np.ndarray) -> float | None:
+                left = g[:, k, :-1] ** 2 / (h[:, k, :-1] + 1)
+                right = (g[:, k, -1:] - g[:, k, :-1]) ** 2 / (h[:, k, -1:] - h[:, k, :-1] + 1)
+                gain = (left + right - g[:, k, -1:] ** 2 / (h[:, k, -1:] + 1))[:, : len(edges)]
+                at, rows = gain.argmax(axis=1), np.arange(width)
+                better = gain[rows, at] > best + 1e-9
+                best[better] = gain[rows, at][better]
+                feature[tree, node : node + width][better], trees.cut[tree, node : node + width][better] = k, at[better]
+                own = np.stack([g[rows, k, at], h[rows, k, at], g[:, k, -1] - g[rows, k, at], h[:, k, -1] - h[rows, k, at]], axis=1)
+                leaves[better] = own[better]
+        leaves = leaves.reshape(-1, 2)
+        value[tree] = RATE * leaves[:, 0] / (leaves[:, 1] + 1)
+    edges = [np.append(c, np.full(BINS + 1 - len(c), np.inf)) for c in cuts]
+    return trees._replace(cut=np.stack(edges)[feature, trees.cut])
+
+
+def _bins(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(cuts)]).astype(np.uint8)
+
+
+def _cuts(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bounds of bins: quantiles, as of ``numpy.quantile``, of sorted values that stand for ``n`` each."""
+    upto = np.cumsum(n)
+    at = np.linspace(0, 1, BINS + 1)[1:-1] * (upto[-1] - 1)
+    low, high = (values[np.searchsorted(upto, f(at), side="right")] for f in (np.floor, np.ceil))
+    return np.unique(low + (high - low) * (at - np.floor(at)))
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
+    """Gradient boosting with quantile bins, of rows in memory."""
+    cuts = [_cuts(*np.unique(x[:, k], return_counts=True)) for k in range(x.shape[1])]
+    block = Block(_bins(x, cuts), y, np.ones(len(y)))
+    return _boost(cuts, y.mean(), lambda trees, tree, level: level_sums(block, trees, tree, level))
+
+
+def _lowest_precise(scores: np.ndarray, y: np.ndarray, n: np.ndarray) -> float | None:
     """The lowest score above which at least ``PRECISION`` are positive, ``FEWEST`` of them or more; None if there is none."""
     order = np.argsort(-scores, kind="stable")
-    ranked, hits = scores[order], np.cumsum(y[order])
+    ranked, hits, seen = scores[order], np.cumsum((y * n)[order]), np.cumsum(n[order])
     last_of_tie = np.append(ranked[1:] != ranked[:-1], True) if len(ranked) else np.empty(0, bool)
-    good = np.flatnonzero(last_of_tie & (hits >= PRECISION * np.arange(1, len(ranked) + 1)) & (hits >= FEWEST))
+    good = np.flatnonzero(last_of_tie & (hits >= PRECISION * seen) & (hits >= FEWEST))
     return float(ranked[good[-1]]) if len(good) else None
 
 
-def calibrate(scores: np.ndarray, y: np.ndarray, kinds: np.ndarray, free: np.ndarray | None = None) -> np.ndarray:
+def calibrate(
+    scores: np.ndarray, y: np.ndarray, kinds: np.ndarray, free: np.ndarray | None = None, n: np.ndarray | None = None
+) -> np.ndarray:
     """A threshold for each generator: ``_lowest_precise`` of its ``free`` candidates, or where these are too few of all its
-    candidates, or of those of all generators; failing that, whatever scores above every negative one. None is below 0.5."""
-    free = np.ones(len(y), bool) if free is None else free
+    candidates, or of those of all generators; failing that, whatever scores above every negative one. None is below 0.5.
+    Each row stands for ``n`` candidates, by default one."""
+    free, n = np.ones(len(y), bool) if free is None else free, np.ones(len(y), np.int64) if n is None else n
     above = np.nextafter(scores[y == 0].max(initial=0.5), 2.0)
     out = []
     for kind in range(len(GENERATORS)):
         own = kinds == kind
-        found = (_lowest_precise(scores[rows], y[rows]) for rows in (own & free, own, np.ones(len(y), bool)))
+        found = (_lowest_precise(scores[rows], y[rows], n[rows]) for rows in (own & free, own, np.ones(len(y), bool)))
         out.append(max(0.5, next((t for t in found if t is not None), above)))
     return np.array(out)
 
@@ -300,6 +359,8 @@ def calibrate(scores: np.ndarray, y: np.ndarray, kinds: np.ndarray, free: np.nda
 class Selector(NamedTuple):
     trees: Trees
     thresholds: np.ndarray
+    #: How many candidates it was trained on and calibrated with.
+    candidates: int = 0
 
     def select(self, text: str, base: list[Span]) -> list[Span]:
         """Candidates that the trees select, and that don't touch a span of a fixed format or a better candidate."""
@@ -316,36 +377,115 @@ class Selector(NamedTuple):
         return out
 
 
-def train_selector(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Selector | None:
-    """Trees and thresholds from a bounded sample of the candidates of ``docs``; None without candidates of both labels."""
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    sample = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    rows = texts.join(F.broadcast(sample), "doc_id")
+def counted_candidates(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """x, y, free, train, held: the different ``examples`` of all texts, features as 16-bit integers, and how many of each there
+    are to train on and to calibrate with. One in ``HELD`` is held back; where that leaves a rest, the hash deals it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, free = [], [], []
             likely = pc.fill_null(pc.match_substring_regex(batch.column(0), _LIKELY), False)
-            for text in batch.column(0).filter(likely).to_pylist():
-                for own, label, outside in examples(text):
-                    x.append(own)
-                    y.append(label)
-                    free.append(outside)
-            columns = [pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int64()), pa.array(free, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["x", "y", "free"])
-
-    found = rows.select("text").mapInArrow(run, "x array<double>, y long, free long")
-    chosen = found.orderBy(F.xxhash64("x", "y", "free"), "x", "y", "free").limit(SAMPLE_CANDIDATES).collect()
-    y = np.array([r["y"] for r in chosen])
-    held = np.arange(len(y)) % 4 == 0
-    if len(np.unique(y[~held])) < 2:
+            found = Counter(
+                (np.array(own, "<i2").tobytes(), label, outside)
+                for text in batch.column(0).filter(likely).to_pylist() for own, label, outside in examples(text)
+            )
+            x, y, free = ([key[k] for key in found] for k in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.binary()), *(pa.array(v, pa.int64()) for v in (y, free, list(found.values())))], ["x", "y", "free", "n"]
+            )
+
+    found = docs.select(F.col(text_column).alias("text")).mapInArrow(run, "x binary, y long, free long, n long")
+    counted = found.groupBy("x", "y", "free").agg(F.sum("n").alias("n"))
+    held = F.floor((F.col("n") + F.pmod(F.xxhash64("x", "y", "free"), F.lit(HELD))) / HELD)
+    return counted.select("x", "y", "free", (F.col("n") - held).alias("train"), F.when(F.col("free") >= 0, held).otherwise(0).alias("held"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Features of a batch, a row for each candidate."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(len(column), -1)
+
+
+def _values(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each feature its values, sorted, and how many candidates to train on have them. Both are bounded by what features can be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, n = _matrix(batch.column(0)), batch.column(1).to_numpy()
+                for k in range(x.shape[1]):
+                    values, place = np.unique(x[:, k], return_inverse=True)
+                    columns = (np.full(len(values), k), values.astype(np.int64), np.bincount(place, n).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["feature", "value", "n"])
+
+    found = rows.where("train > 0").select("x", "train").mapInArrow(run, "feature long, value long, n long")
+    found = np.array(sorted(found.groupBy("feature", "value").agg(F.sum("n")).collect()))
+    return [(own[:, 1], own[:, 2]) for own in (found[found[:, 0] == k] for k in range(int(found[-1, 0]) + 1))]
+
+
+def _blocks(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """The candidates to train on as rows that hold a ``Block`` each, cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                own = batch.slice(at, BLOCK_ROWS)
+                parts = _bins(_matrix(own.column(0)), cuts), *(own.column(k).to_numpy().astype(np.int64) for k in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["bins", "y", "n"])
+
+    return cut(rows.where("train > 0").select("x", "y", "train").mapInArrow(run, "bins binary, y binary, n binary"))
+
+
+def _sums(blocks: DataFrame, features: int) -> Sums:
+    """Sums of ``level_sums`` over all blocks: each task returns its own, which are as many as nodes, features and bins."""
+
+    def sums(trees: Trees, tree: int, level: int) -> np.ndarray:
+        shape = 2, 1 << level, features, BINS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape, np.int64)
+            for batch in batches:
+                for bins, y, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    y, n = np.frombuffer(y, np.int64), np.frombuffer(n, np.int64)
+                    total += level_sums(Block(np.frombuffer(bins, np.uint8).reshape(features, -1), y, n), trees, tree, level)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        found = blocks.mapInArrow(run, "sums binary").collect()
+        return sum(np.frombuffer(r.sums, np.int64) for r in found).reshape(shape)
+
+    return sums
+
+
+def _held_scores(rows: DataFrame, trees: Trees) -> np.ndarray:
+    """(score, label, generator, free, number) of the candidates held back; as many rows as scores, labels and generators there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0))
+                columns = [pa.array(trees.scores(x)), batch.column(1), pa.array(x[:, 0].astype(np.int64)), *batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, ["score", "y", "kind", "free", "n"])
+
+    found = rows.where("held > 0").select("x", "y", "free", "held")
+    found = found.mapInArrow(run, "score double, y long, kind long, free long, n long")
+    found = found.groupBy("score", "y", "kind", "free").agg(F.sum("n").alias("n")).collect()
+    return np.array(found, float).reshape(-1, 5)
+
+
+def train_selector(docs: DataFrame, text_column: str = "text") -> Selector | None:
+    """Trees and thresholds from all candidates of ``docs``; None without candidates of both labels.
+
+    Nothing is left out: every level of a tree is a pass over all candidates, counted by their features, and the thresholds
+    look at all that were held back. As sums are exact, neither the order of rows nor their partitions change the result.
+    """
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    rows = cut(counted_candidates(docs, text_column).coalesce(tasks))
+    n, positive, held = (v or 0 for v in rows.agg(F.sum("train"), F.sum(F.col("train") * F.col("y")), F.sum("held")).first())
+    if positive in (0, n):
         return None
-    x = np.array([r["x"] for r in chosen])
-    trees = fit_trees(x[~held], y[~held])
-    free = np.array([r["free"] for r in chosen]) == 0
-    # Candidates of the texts that a fixed format touches can't be selected; rewritten ones stand for those that can.
-    held &= np.array([r["free"] for r in chosen]) >= 0
-    return Selector(trees, calibrate(trees.scores(x[held]), y[held], x[held, 0], free[held]))
+    values = _values(rows)
+    cuts = [_cuts(*own) for own in values]
+    trees = _boost(cuts, positive / n, _sums(_blocks(rows, cuts), len(cuts)))
+    score, y, kinds, free, number = _held_scores(rows, trees).T
+    return Selector(trees, calibrate(score, y, kinds, free == 0, number), n + held)
 
 
 def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -355,7 +495,7 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     spans; repeated rows get equal ones, null ids are carried, an empty table gives an empty result. Other columns are
     not read. Without candidates to learn from only the base kinds are found.
     """
-    selector = docs.sparkSession.sparkContext.broadcast(train_selector(docs, id_column, text_column))
+    selector = docs.sparkSession.sparkContext.broadcast(train_selector(docs, text_column))
 
     def make_finder():
         own = selector.value

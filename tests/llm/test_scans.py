@@ -214,6 +214,27 @@ def test_registered_secret_scan_against_plain_patterns(spark, sample_texts):
         assert [x for x in got[doc_id].spans.split(",") if x and not x.startswith("random")] == [x for x in joined.split(",") if x]
 
 
+def test_personal_data_is_learnt_from_every_candidate(make_docs):
+    """More candidates than the 30,000 that once were the most, in more documents; the trees are those of all rows in memory."""
+    texts = [f"order {k:05}-{k * 7919 % 100_000:05}-{'1' * (k % 9)} v{k}" if k % 5 else f"call +49 30 {k:07}, 0049 30 {k:07}" for k in range(32_000)]
+    docs = make_docs(list(enumerate(texts)))
+    every = [(own, label, free) for text in texts for own, label, free in pii.examples(text)]
+    selector = pii.train_selector(docs.repartition(3))
+    rows = pii.counted_candidates(docs).collect()
+    assert sum(r.train + r.held for r in rows) == selector.candidates
+    found = {}
+    for own, label, free in every:
+        key = np.array(own, "<i2").tobytes(), label, free
+        found[key] = found.get(key, 0) + 1
+    assert len(every) > 60_000 and found.keys() == {(bytes(r.x), r.y, r.free) for r in rows}
+    for r in rows:
+        n = found[bytes(r.x), r.y, r.free]
+        assert n - r.train in (n // 4, -(-n // 4)) and r.held == (n - r.train if r.free >= 0 else 0)
+    train = [(np.frombuffer(r.x, "<i2"), r.y) for r in rows for _ in range(r.train)]
+    trees = pii.fit_trees(np.array([x for x, _ in train], float), np.array([y for _, y in train]))
+    assert all(np.array_equal(a, b) for a, b in zip(trees, selector.trees, strict=True))
+
+
 PLANTED = {
     "contact": "write to jane.doe (at) example.org please", "mixed": "pay to DE89 3704 0044 0532 0130 00 soon", "digits": "card 4111.1111.1111.1111 here",
     "dotted": "device 3c:22:fb:9a:01:7e is on",
