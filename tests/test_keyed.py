@@ -101,6 +101,19 @@ def test_a_lookup_reads_the_same_however_long_the_history(spark, tmp_path, monke
     assert rows_of(keyed.lookup(spark, table, asked, 0)) == rows_of(frame)
 
 
+def test_a_lookup_without_keys_gives_all_current_rows(spark, tmp_path):
+    table, current = make_table(tmp_path / "t"), {}
+    keyed.create(spark, table)
+    assert rows_of(keyed.lookup(spark, table, None, -1)) == []
+    write(spark, table, current, 0, [("a", 1), ("b", 2), (None, 3)])
+    assert rows_of(keyed.lookup(spark, table, None, 0)) == [("a", 1), ("b", 2)]
+    keyed.compact(spark, table, 0)
+    frame = keyed.lookup(spark, table, None, 0)
+    assert rows_of(frame) == [("a", 1), ("b", 2)] and "Aggregate" not in frame._jdf.queryExecution().executedPlan().toString()
+    write(spark, table, current, 1, [("b", 5), ("c", 6), (None, 7)])
+    assert rows_of(keyed.lookup(spark, table, None, 1)) == [("a", 1), ("b", 5), ("c", 6)]
+
+
 def test_a_slow_reader_finishes_and_a_crashed_one_does_not_hold_for_ever(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(keyed, "TIER", 2)
     root, table, current = str(tmp_path), make_table(tmp_path / "t"), {}

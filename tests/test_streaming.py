@@ -14,7 +14,7 @@ from paypulse.operators.unpack import unpack
 from paypulse.operators.upsert import latest_by_key
 from paypulse.plans.monitor import PaymentMonitor
 from paypulse.schemas import ENVELOPE, ORDERS, PAYMENTS, RAW
-from paypulse.sources import batchlog
+from paypulse.sources import batchlog, keyed
 from paypulse.sources.layers import (
     change_schema, compact_all, compact_curated, curated_path, layer_path, new_rows, offsets_path,
     read_curated, register_layers, scan,
@@ -216,6 +216,30 @@ def test_readers_and_compaction_stop_at_the_last_committed_batch(spark, tmp_path
     assert rows_of(read_curated(spark, root, PAYMENTS, 1)) != before
 
 
+def test_a_large_batch_is_shuffled_once_and_not_cached(spark, tmp_path, monkeypatch):
+    """Beyond ``MANY_ROWS`` the shuffle that dedupes a batch also joins it with the index; the results stay the same."""
+    monkeypatch.setattr(keyed, "MANY_ROWS", 3, raising=False)
+    monkeypatch.setattr(keyed, "BUCKET_ROWS", 2)
+    root, records, plans = str(tmp_path / "a root"), history(7, 60), []
+    register_layers(spark, root)
+    real = batchlog.write_batch
+
+    def write_batch(rows, path, batch_id):
+        if path == curated_path(root, PAYMENTS):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        real(rows, path, batch_id)
+
+    monkeypatch.setattr(batchlog, "write_batch", write_batch)
+    for start, end in ((0, 20), (20, 40), (40, 60)):
+        land(spark, root, records[start:end])
+        start_promote(spark, root, ONCE).awaitTermination()
+        assert_consistent(spark, root, records[:end])
+        if start == 0:
+            compact_all(spark, root)
+    assert len(plans) == 3 and not any("InMemoryTableScan" in p for p in plans)
+    assert plans[1].count("Exchange") <= 2 and "Aggregate" not in plans[1]  # of the batch and of the index
+
+
 def test_days_are_filtered_as_ranges():
     days = [date(2024, 1, d) for d in (1, 2, 3, 9)] + [date(2025, 1, 1)]
     assert _ranges(days) == [(days[0], days[2]), (days[3], days[3]), (days[4], days[4])]
