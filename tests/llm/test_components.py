@@ -24,3 +24,25 @@ def test_random_graphs_chains_and_stars(spark):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_tasks_follow_the_edges(spark):
+    """A small graph takes few tasks, each of which leaves files, however many shuffle partitions there are."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    context = spark.sparkContext
+    tracker = context.statusTracker()
+    links = spark.range(300, numPartitions=4).selectExpr("id as a", "id + 1 as b")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("test_tasks_follow_the_edges", "")
+        found = components(links).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.component for r in found} == {0} and len(found) == 301
+    stages = {s for j in tracker.getJobIdsForGroup("test_tasks_follow_the_edges") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    assert tasks < 1500, tasks
